@@ -10,9 +10,10 @@ So it is enough to index, of each sketch, all but its ``need - 1`` most frequent
 phrases drop out of the inverted lists by themselves and no list needs a cap.
 
 *Links.*  Within a list, pairs are made from pivots: first one pivot against the list; after links
-have merged classes into components, four more pivots, sixteen more, and so on, and only between
-classes that are still in different components.  A list is done when it is one component or every
-member has been a pivot, so no pair that could still join two components is left out.  Candidate
+have merged classes into components, about 64 more pivots, then sixteen times as many, and so on, and
+only between classes of fitting size that are still in different components.  A list is done when it
+is one component or every member has been a pivot, so no pair that could still join two components
+is left out.  Candidate
 pairs are distinct, filtered by set size and by the similarity the union's sketch estimates, and
 verified with the exact Jaccard similarity of the full sets.
 
@@ -32,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, id_and_text, mix, slices, word_hashes
 
-K, NEED = 32, 12
+K, NEED, PIVOTS = 32, 12, 64
 
 
 def shingle_sets(texts: list, shingle: int, memo: WordHashes) -> list[np.ndarray]:
@@ -122,8 +123,14 @@ class _Dedup:
             "dedup-classes",
         )
 
+    def counted(self, df: DataFrame, what: Column, name: str) -> tuple[DataFrame, int]:
+        """Writes a table and counts its rows with ``what`` on the way."""
+        seen = Observation()
+        out = self.scratch.table(df.observe(seen, F.count_if(what).alias("n")), name)
+        return out, int(seen.get.get("n") or 0)
+
     def lists(self) -> DataFrame:
-        """v, cls: the inverted lists, of two members or more."""
+        """v, cls, n, members, pivot: the inverted lists, of two members or more; pivot is the least member."""
         entries = self.classes.select("cls", "n", F.explode("sketch").alias("v"))
         df = self.scratch.table(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "dedup-df")
         counted = entries.join(df, "v", "left").select("cls", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "v").alias("e"))
@@ -131,88 +138,86 @@ class _Dedup:
         kept = (
             counted.groupBy("cls", "n")
             .agg(F.sort_array(F.collect_list("e")).alias("es"))
-            .select("cls", F.explode(F.slice("es", 1, F.size("es") - need + 1)).alias("e"))
+            .select("cls", "n", F.explode(F.slice("es", 1, F.size("es") - need + 1)).alias("e"))
             .filter("e.df > 1")
-            .select("e.v", "cls")
+            .select("e.v", "cls", "n")
         )
         kept = self.scratch.table(kept, "dedup-prefix")
-        sizes = self.scratch.table(kept.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1"), "dedup-list-sizes")
+        sizes = kept.groupBy("v").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).filter("members > 1")
+        sizes = self.scratch.table(sizes, "dedup-list-sizes")
         out = self.scratch.table(kept.join(sizes, "v"), "dedup-lists")
         self.scratch.drop(df, kept, sizes)
         return out
 
+    def sized(self, a: str, b: str) -> Column:
+        """Whether two set sizes allow the similarity."""
+        return 100 * F.least(a, b) >= self.similarity * F.greatest(a, b)
+
     def verified(self, pairs: DataFrame, round_: int) -> DataFrame:
         """a, b of the distinct pairs with the similarity asked for."""
         s, info = self.similarity, self.classes.select("cls", "n", "sketch")
-        pairs = self.scratch.table(pairs.distinct(), f"dedup-pairs{round_}")
-        both = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+        both = pairs.distinct().join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
         # The k smallest of the union, and how many of them are in both: an estimate of the similarity.
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
         shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
         enough = shared >= F.least(F.lit(self.need), F.ceil(F.greatest("na", "nb") * F.lit(s) / 100))
-        sized = 100 * F.least("na", "nb") >= s * F.greatest("na", "nb")
-        likely = self.scratch.table(both.filter(sized).filter(enough).select("a", "b"), f"dedup-likely{round_}")
+        likely = self.scratch.table(both.filter(self.sized("na", "nb")).filter(enough).select("a", "b"), f"dedup-likely{round_}")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "rep"), "cls")
         texts = id_and_text(self.docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         full = texts.mapInArrow(_full_sets(self.shingle), "cls binary, items binary")
         full = self.scratch.table(full.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), f"dedup-sets{round_}")
         sides = likely.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
         out = self.scratch.table(sides.mapInArrow(_jaccard(s), "a binary, b binary"), f"dedup-links{round_}")
-        self.scratch.drop(pairs, likely, full)
+        self.scratch.drop(likely, full)
         return out
 
     def components(self, links: DataFrame, name: str) -> DataFrame:
         """cls, comp for every class with a link: the smallest class it reaches."""
         edges = self.scratch.table(links.union(links.select("b", "a")).distinct(), f"{name}-edges")
-        labels = self.scratch.table(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("cls")).alias("comp")), f"{name}-labels")
+        labels = edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
+        labels = self.scratch.table(labels, f"{name}-labels")
         step = 0
         while True:
+            # The least of a class's own label, its label's label and its neighbours' labels.
             near = edges.join(labels.toDF("b", "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
-            near = self.scratch.table(near, f"{name}-near{step}")
-            low = self.scratch.table(labels.join(near, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), f"{name}-low{step}")
-            jump = low.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-            new = low.join(jump, "comp", "left").select("cls", "old", F.coalesce("next", "comp").alias("comp"))
-            new = self.scratch.table(new, f"{name}-labels{step}")
-            changed = new.filter("comp <> old").limit(1).count()
-            self.scratch.drop(near, low, labels)
-            labels, step = new.select("cls", "comp"), step + 1
-            self.scratch.paths[id(labels)] = self.scratch.paths.pop(id(new))
+            new = labels.join(labels.toDF("comp", "next"), "comp", "left").join(near, "cls")
+            new = new.select("cls", F.least("comp", "near", "next").alias("comp"), F.col("comp").alias("old"))
+            new, changed = self.counted(new, F.col("comp") != F.col("old"), f"{name}-labels{step}")
+            self.scratch.drop(labels)
             if not changed:
                 self.scratch.drop(edges)
-                return labels
+                return new
+            labels = new.select("cls", "comp")
+            self.scratch.paths[id(labels)] = self.scratch.paths.pop(id(new))
+            step += 1
 
     def run(self) -> DataFrame:
         """cls, comp of all classes with links, as a table."""
         lists = self.lists()
-        first = self.scratch.table(lists.groupBy("v").agg(F.min("cls").alias("a")), "dedup-pivots")
-        pairs = lists.join(first, "v").filter(F.col("a") != F.col("cls")).select("a", F.col("cls").alias("b"))
-        links = self.verified(pairs, 0)
-        comps = self.components(links, "dedup-c0")
-        done, width, round_ = 1, 4, 1
-        ranked = None
+        links = self.verified(lists.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")), 0)
+        comps = self.components(links, "dedup-c0").select("cls", "comp")
+        # Further pivots by a hash of the class: in round r about ``width`` of each list have a place below
+        # width / members.  Each is paired with members of later place in other components.
+        place = F.shiftrightunsigned(F.xxhash64("cls"), 1) / float(1 << 63)
+        rest = lists.filter("members > 2").select("v", "cls", "n", "members", place.alias("place"))
+        done, width, round_ = 0, PIVOTS, 1
         while True:
-            # Lists with members in different components, and members that haven't been pivots.
-            source = lists if ranked is None else ranked
-            labelled = source.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            labelled = self.scratch.table(labelled, f"dedup-labelled{round_}")
-            open_ = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
-            open_ = self.scratch.table(open_, f"dedup-open{round_}")
-            rest = labelled.join(open_, "v", "left_semi").filter(F.col("members") > done + 1)
-            if ranked is None:
-                # Members by class: the first is the pivot of round 0.
-                rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("cls")) - 1)
-            rest = self.scratch.table(rest, f"dedup-rest{round_}")
-            self.scratch.drop(labelled, open_)
-            if not rest.limit(1).count():
+            comp = F.coalesce("comp", "cls").alias("comp")
+            labelled = self.scratch.table(rest.join(comps, "cls", "left").select(*rest.columns, comp), f"dedup-labelled{round_}")
+            apart = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("v")
+            apart = self.scratch.table(apart, f"dedup-apart{round_}")
+            rest, open_ = self.counted(labelled.join(apart, "v", "left_semi"), F.lit(True), f"dedup-rest{round_}")
+            self.scratch.drop(labelled, apart)
+            if not open_:
                 return comps
-            lower, upper = rest.alias("p"), rest.alias("q")
-            pivots = lower.filter((F.col("p.rank") >= done) & (F.col("p.rank") < done + width))
-            pairs = pivots.join(upper, F.expr("p.v = q.v and p.rank < q.rank and p.comp <> q.comp"))
-            pairs = pairs.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b"))
-            links = self.scratch.table(links.union(self.verified(pairs, round_)), f"dedup-links-to{round_}")
-            comps = self.components(links, f"dedup-c{round_}")
-            done, width, round_ = done + width, width * 4, round_ + 1
-            ranked = rest.drop("comp")
+            at = lambda w: F.col("p.place") * F.col("p.members") >= w
+            later = "(p.place < q.place or p.place = q.place and p.cls < q.cls)"
+            pivots = rest.alias("p").filter(at(done) & ~at(done + width))
+            pairs = pivots.join(rest.alias("q"), F.expr(f"p.v = q.v and p.comp <> q.comp and {later}") & self.sized("p.n", "q.n"))
+            links = links.union(self.verified(pairs.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")), round_))
+            comps = self.components(links, f"dedup-c{round_}").select("cls", "comp")
+            done, width, round_ = done + width, width * 16, round_ + 1
+            rest = rest.drop("comp").filter(F.col("members") > done)
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80, shingle: int = 5, k: int = K, need: int = NEED) -> DataFrame:
