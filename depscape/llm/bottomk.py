@@ -9,9 +9,10 @@ sets that is certain; for others it fails with a binomial probability, below 1e-
 So it is enough to index, of each sketch, all but its ``need - 1`` most frequent values: common
 phrases drop out of the inverted lists by themselves and no list needs a cap.
 
-*Links.*  Within a list, pairs are made from pivots: first one pivot against the list; after links
-have merged classes into components, about 64 more pivots, then sixteen times as many, and so on, and
-only between classes of fitting size that are still in different components.  A list is done when it
+*Links.*  Within a list, pairs are made from pivots: first one pivot against the list (one of four
+orders by the list's value, so that a group meets several pivots); after links have merged classes into
+components, about eight more pivots, then eight times as many, and so on, and only between classes of
+fitting size that are still in different components.  A list is done when it
 is one component or every member has been a pivot, so no pair that could still join two components
 is left out.  Candidate
 pairs are distinct, filtered by set size and by the similarity the union's sketch estimates, and
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, id_and_text, mix, slices, word_hashes
 
-K, NEED, PIVOTS = 32, 12, 64
+K, NEED, FIRST, PIVOTS = 32, 12, 4, 8
 
 
 def shingle_sets(texts: list, shingle: int, memo: WordHashes) -> list[np.ndarray]:
@@ -143,7 +144,9 @@ class _Dedup:
             .select("e.v", "cls", "n")
         )
         kept = self.scratch.table(kept, "dedup-prefix")
-        sizes = kept.groupBy("v").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).filter("members > 1")
+        order = F.struct(F.xxhash64("cls", F.pmod("v", F.lit(FIRST))), "cls")
+        sizes = kept.groupBy("v").agg(F.count("*").alias("members"), F.min(order).alias("pivot")).filter("members > 1")
+        sizes = sizes.withColumn("pivot", F.col("pivot.cls"))
         sizes = self.scratch.table(sizes, "dedup-list-sizes")
         out = self.scratch.table(kept.join(sizes, "v"), "dedup-lists")
         self.scratch.drop(df, kept, sizes)
@@ -155,7 +158,8 @@ class _Dedup:
 
     def verified(self, pairs: DataFrame, round_: int) -> DataFrame:
         """a, b of the distinct pairs with the similarity asked for."""
-        s, info = self.similarity, self.classes.select("cls", "n", "sketch")
+        s = self.similarity
+        info = self.classes.select("cls", "n", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
         both = pairs.distinct().join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
         # The k smallest of the union, and how many of them are in both: an estimate of the similarity.
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
@@ -194,7 +198,8 @@ class _Dedup:
     def run(self) -> DataFrame:
         """cls, comp of all classes with links, as a table."""
         lists = self.lists()
-        links = self.verified(lists.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")), 0)
+        stars = lists.filter("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
+        links = self.verified(stars, 0)
         comps = self.components(links, "dedup-c0").select("cls", "comp")
         # Further pivots by a hash of the class: in round r about ``width`` of each list have a place below
         # width / members.  Each is paired with members of later place in other components.
@@ -214,9 +219,10 @@ class _Dedup:
             later = "(p.place < q.place or p.place = q.place and p.cls < q.cls)"
             pivots = rest.alias("p").filter(at(done) & ~at(done + width))
             pairs = pivots.join(rest.alias("q"), F.expr(f"p.v = q.v and p.comp <> q.comp and {later}") & self.sized("p.n", "q.n"))
-            links = links.union(self.verified(pairs.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")), round_))
+            both = (F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b"))
+            links = links.union(self.verified(pairs.select(*both), round_))
             comps = self.components(links, f"dedup-c{round_}").select("cls", "comp")
-            done, width, round_ = done + width, width * 16, round_ + 1
+            done, width, round_ = done + width, width * 8, round_ + 1
             rest = rest.drop("comp").filter(F.col("members") > done)
 
 
