@@ -9,6 +9,7 @@ from ..functions.expr import dirname, local_name
 from ..model import CONFIDENCES, DEPENDENCY_KINDS, confidence, from_ordinal
 
 MAX_CALLERS, MAX_CALLED_BY, MAX_INDIRECT_GROUPS, MAX_NAMES = 200, 3, 12, 10
+EDGE = ("src", "dst", "kind", "prov", "site_line")
 _RANK = {"calls": 0, "inherits": 1, "references": 2, "imports": 3}
 
 
@@ -97,7 +98,7 @@ def direct_sites(links: DataFrame, symbols: DataFrame, targets: DataFrame, kinds
     """query, caller, lines, edge, confidence, is_test, path: one row for each caller of a query's targets
     (``targets``: query, id), its distinct lines and its strongest edge; imports left out."""
     into = targets.select("query", F.col("id").alias("dst")).distinct()
-    e = links.filter(F.col("kind").isin(*kinds) & (F.col("kind") != "imports")).join(into, "dst")
+    e = links.select(*EDGE).filter(F.col("kind").isin(*kinds) & (F.col("kind") != "imports")).join(into, "dst")
     e = e.join(into.withColumnRenamed("dst", "src"), ["query", "src"], "left_anti")
     best = F.min(F.struct(kind_rank(F.col("kind")).alias("r"), confidence(F.col("prov")).alias("conf"), F.col("kind")))
     per = e.groupBy("query", F.col("src").alias("caller")).agg(F.array_sort(F.collect_set("site_line")).alias("lines"), best.alias("b"))
@@ -118,7 +119,7 @@ def direct_summary(sites: DataFrame, links: DataFrame, symbols: DataFrame, targe
         F.count_if(~F.col("is_test")).alias("prod"), F.count_if(F.col("is_test")).alias("test"),
     )
     into = targets.select("query", F.col("id").alias("dst")).distinct()
-    imports = links.filter("kind = 'imports'").join(into, "dst").join(into.withColumnRenamed("dst", "src"), ["query", "src"], "left_anti")
+    imports = links.select(*EDGE).filter("kind = 'imports'").join(into, "dst").join(into.withColumnRenamed("dst", "src"), ["query", "src"], "left_anti")
     files = imports.join(symbols.select(F.col("id").alias("src"), "path"), "src").groupBy("query").agg(F.count_distinct("path").alias("imported_by_files"))
     out = targets.select("query").distinct().join(per, "query", "left").join(files, "query", "left")
     return out.select("query", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("callers", "sites", "files", "prod", "test", "imported_by_files")])
