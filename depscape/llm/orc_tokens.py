@@ -8,7 +8,7 @@ sum: sums within a file plus the totals of the files before, both read back from
 
 The byte-pair tokenizer works on pieces of a text: a space between two characters that aren't
 white space always begins a new piece, so ids of a piece are remembered and reused; texts with
-other runs of white space are encoded whole.  The memo is bounded; it changes no result.
+other runs of white space are one piece.  The library's model encodes each distinct pre-token.  The memo is bounded; it changes no result.
 
 Defined results: null or empty text has only the end id; rows with equal ids keep their own row, by
 text; rows with a null id come first; an empty table writes no rows and returns none.
@@ -16,6 +16,7 @@ text; rows with a null id come first; an empty table writes no rows and returns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, scratch_path, slices
 
 
+#: The pre-token pattern on ASCII text.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
+
 class PieceIds:
     """Ids (little-endian uint32 bytes) of whole texts by the tokenizers library, with a memo of pieces."""
 
@@ -36,12 +41,12 @@ class PieceIds:
         import regex
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
-        self.model = self.full.model
+        full = Tokenizer.from_file(path)
+        self.model = full.model
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(full.get_vocab_size())]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.most = most
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
         # Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -51,43 +56,38 @@ class PieceIds:
     def piece(self, piece: str) -> bytes:
         """Ids of a piece: of each pre-token, by the library's model."""
         out = []
-        words = self.words
-        for w in self.split(piece):
+        words, bytes_of = self.words, self.bytes_of
+        for w in (_ASCII.findall if piece.isascii() else self.split)(piece):
             ids = words.get(w)
             if ids is None:
                 shown = w.encode().decode("latin-1").translate(self.table)
-                ids = words[w] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                ids = words[w] = b"".join([bytes_of[t.id] for t in self.model.tokenize(shown)])
             out.append(ids)
         return b"".join(out)
 
-    def learn(self, texts: list[str]) -> None:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
         if len(memo) >= self.most:
             memo.clear()
         if len(self.words) >= self.most:
             self.words.clear()
-        fresh: set[str] = set()
+        get, out = memo.get, []
         for t in texts:
-            fresh.update(t)
-        for p in fresh.difference(memo):
-            # An empty piece or one with white space at its ends: cut is no pre-token boundary.
-            memo[p] = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.split(" ") if t else [] for t in texts]
-        self.learn([c[1:] for c in cut])
-        get, out = self.memo.__getitem__, []
-        for t, c in zip(texts, cut):
-            if not c:
+            if not t:
                 out.append(b"")
                 continue
-            first = c[0]
-            try:
-                if not first or first[-1].isspace():
-                    raise TypeError
-                out.append(self.piece(first) + b"".join(map(get, c[1:])))
-            except TypeError:  # a None among the pieces
-                out.append(np.array(self.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            first, *rest = t.split(" ")
+            got = list(map(get, rest))
+            if None in got:
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        p = rest[i]
+                        # An empty piece or one with white space at its ends: the cut is no pre-token boundary.
+                        got[i] = memo[p] = False if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
+            if not first or first[-1].isspace() or False in got:
+                out.append(self.piece(t))
+            else:
+                out.append(self.piece(first) + b"".join(got))
         return out
 
 
