@@ -9,7 +9,7 @@ sum-product message passing.  A token is added as a span if its marginal for one
 ``threshold`` and either it has that kind's shape or a skip neighbour has that label.
 
 Weights are trained piecewise on a bounded sample (``sample_rows`` documents with a digit or at sign,
-chosen by a hash of the id, of at most ``sample_chars`` code points each): a multinomial logistic
+of about ten times as many drawn by a hash of the id, of at most ``sample_chars`` code points each): a multinomial logistic
 regression for node factors, pointwise mutual information of label pairs for edge factors.
 
 Defined results: null or empty text has no findings; rows with equal ids keep their own row; without
@@ -316,12 +316,11 @@ def _scan(w: Weights, threshold: float):
 
 def find_pii(docs: DataFrame, sample_rows: int = 600, sample_chars: int = 20_000, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``."""
-    chosen = (
-        docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
-        .filter(F.col("t").rlike("[0-9@]") & (F.length("t") <= sample_chars))
-        .orderBy(F.xxhash64(F.lit("pii"), "i"), "i", "t")
-        .limit(sample_rows)
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
+    scale = 1 << 40  # about ten times as many rows are drawn as are wanted, whatever the table's size
+    drawn = min(scale, 10 * sample_rows * scale // max(1, docs.count()))
+    h = F.pmod(F.xxhash64(F.lit("pii"), "i"), F.lit(scale))
+    chosen = rows.filter((h < drawn) & F.col("t").rlike("[0-9@]") & (F.length("t") <= sample_chars)).orderBy(h, "i", "t").limit(sample_rows)
     w = train([r["t"] for r in chosen.collect()])  # at most sample_rows x sample_chars
     return id_and_text(docs).mapInArrow(
         _scan(w, threshold),
