@@ -1,10 +1,12 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
-Trees are fitted on a bounded sample of distinct vectors (``sample_rows``, chosen by a hash of the id):
+Trees are fitted on the distinct vectors of a bounded sample (about ``sample_rows``, chosen by a hash of the id):
 each node splits its points by a random direction between two of them at the median.  Every row is
 then indexed: it goes to one leaf of each tree.  A query walks all trees with one shared priority
 queue, keyed by the smallest margin on the way, and opens leaves in that order until they hold
-``search`` distinct vectors.  Candidates are reranked by exact Euclidean distance in double precision.
+``search`` distinct vectors, or ``share`` times the number of rows if that is more (a vector counts in
+each tree that offers it).  Vectors without clusters, as in 64 random dimensions, need a share near 1
+for a recall of 0.9; clustered ones do with far less.  Candidates are reranked by exact Euclidean distance in double precision.
 
 Leaves are cut into pieces of about ``piece`` rows, so that a leaf with very many rows (equal vectors
 always share their leaves) is spread over tasks; a piece returns its own nearest ``k`` for each query,
@@ -167,9 +169,10 @@ def nearest(
     every: int = 100,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    trees: int = 12,
-    leaf: int = 48,
+    trees: int = 4,
+    leaf: int = 256,
     search: int = 4000,
+    share: float = 0.9,
     sample_rows: int = 20_000,
     piece: int = 1024,
     seed: int = 11,
@@ -183,8 +186,11 @@ def nearest(
     if common is None:
         return spark.createDataFrame([], schema)
     dim = common["dim"]
+    search = max(search, int(share * common["n"]))
     ok = scratch.table(ok.filter(F.size("v") == dim), "forest-vectors")
-    sample = ok.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").collect()
+    scale = 1 << 40
+    drawn = min(scale, sample_rows * scale // common["n"])
+    sample = ok.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(scale)) < drawn).select("v").collect()
     points = np.unique(np.array([r["v"] for r in sample]), axis=0)
     rng = np.random.default_rng(seed)
     forest = [grow(points, leaf, rng) for _ in range(trees)]
