@@ -814,3 +814,40 @@ def directory_sizes(spark: SparkSession, sf: str) -> DataFrame:
 @query("select id, qualified as local_ from v_symbol where id like 'n%'", "v_symbol")
 def local_names(spark: SparkSession, sf: str) -> DataFrame:
     return d.symbols(spark, sf).filter("id like 'n%'").select("id", local_name("qualified", F.lit("other.py")).alias("local_"))
+
+
+# The graph algorithms on the users of all events.  The SQL of those above is fixed to every 31st event; a transitive
+# closure of all is too large for SQL, so these have none.
+
+
+@query(None)
+def shortest_paths_whole(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.user_graph(spark, sf, whole=True)
+    nodes = graph.nodes_of(e)
+    pairs = nodes.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    return graph.shortest_path(e, pairs, max_hops=max(1, nodes.count())).filter("hops is not null")  # no path is longer than the nodes
+
+
+@query(None)
+def pagerank_rounds_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(d.user_graph(spark, sf, whole=True), rounds=_PR_ROUNDS).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(None)
+def strong_components_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.strong_components(d.user_graph(spark, sf, whole=True))
+
+
+@query(None)
+def component_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.component_stats(graph.strong_components(d.user_graph(spark, sf, whole=True)))
+
+
+@query(None)
+def weak_components_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.weak_components(d.user_graph(spark, sf, whole=True))
+
+
+@query(None)
+def communities_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.communities(d.user_graph(spark, sf, whole=True))

@@ -87,11 +87,12 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: a graph of users with cycles, from every 31st event."""
+def user_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """src, dst: a graph of users with cycles, from every 31st event (as ``v_user``), or from all with ``whole``."""
     e = table(spark, sf_dir, "events")
     top = e.select((F.max("user_id") + 1).alias("n"))
-    return e.filter("event_id % 31 = 0").crossJoin(F.broadcast(top)).select(F.col("user_id").alias("src"), (F.col("event_id") % F.col("n")).alias("dst")).distinct()  # top: one row
+    e = e.filter("event_id is not null and user_id is not null" if whole else "event_id % 31 = 0")
+    return e.crossJoin(F.broadcast(top)).select(F.col("user_id").alias("src"), (F.col("event_id") % F.col("n")).alias("dst")).distinct()  # top: one row
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
