@@ -33,8 +33,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 # Weak candidates.
-_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Z]*[0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9+/_=-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+# Any length, and after any character that can't be part of them: an equals sign
+# (name=value) too, and a slash or hyphen before an identifier; a secret may hold those itself.
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+_])(?=[A-Z]*+[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}")
 _MAYBE_IDENTIFIER = re.compile(rb"[A-Z0-9]{16}")
 _GAP = re.compile(r"\n[\x20\t\r]*\n")
@@ -78,21 +80,18 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     ends = [m.span() for m in _ENDPOINT.finditer(text) if free(*m.span())]
     if not (weak_ids or weak_secrets or ends):
         return []
-    all_ids, all_secrets = sorted(ids + weak_ids), sorted(secrets + weak_secrets)
+    ends_of = lambda parts: (sorted(s for s, _ in parts), sorted(e for _, e in parts))
+    all_ids, all_secrets = ends_of(ids + weak_ids), ends_of(secrets + weak_secrets)
     cuts = [m.start() for m in _GAP.finditer(text)]
 
-    def near(part: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        """Whether another part's interval meets this part's scope."""
+    def near(part: tuple[int, int], others: tuple[list[int], list[int]]) -> bool:
+        """Whether another part's interval, wholly before or after this part, meets its scope."""
         k = bisect.bisect_left(cuts, part[0])
         low = max(part[0] - reach, cuts[k - 1] if k else 0)
         high = min(part[1] + reach, cuts[k] if k < len(cuts) else len(text))
-        at = bisect.bisect_left(others, (low, low))
-        while at < len(others) and others[at][0] < high:
-            s, e = others[at]
-            if e <= part[0] or s >= part[1]:
-                return True
-            at += 1
-        return False
+        first, last = others
+        before, after = bisect.bisect_right(last, low), bisect.bisect_left(first, part[1])
+        return before < len(last) and last[before] <= part[0] or after < len(first) and first[after] < high
 
     out = [(s, 3, e) for s, e in weak_ids if near((s, e), all_secrets)]
     out += [(s, 4, e) for s, e in weak_secrets if near((s, e), all_ids)]

@@ -113,6 +113,19 @@ def test_weak_credentials_need_company(spark):
     assert all(out[i] == "" for i in range(1, 5))
 
 
+def test_weak_credentials_as_name_value_and_long(spark):
+    secret, ident, end = "wJalrXUtnFEMIK7MDENGbPxRfiCYzz9", "ASIAQX7ZK2M4N8B1V5C3", "https://store.example.com/v1"
+    parts = [
+        (f"AWS_ACCESS_KEY_ID={ident}\nAWS_SECRET_ACCESS_KEY={secret}\nURL={end}", [ident, secret, end]), (f"export A={ident} B='{secret}'", [ident, secret]),
+        (f"GET /?id={ident}&k={secret}&x=1", [ident, secret]), (f"USER/{ident} or ID-{ident[:18]} {secret}", [ident, ident[:18], secret]),
+        (f"{ident * 4} {secret * 20}=", [ident * 4, secret * 20 + "="]), (f"{secret * 20} {ident}", [secret * 20, ident]), (f"A={ident} B={'/' * 30000}=x", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(parts)], "doc_id long, text string")
+    for r in credential_links.scan_secrets(df).collect():
+        text, want = parts[r.doc_id]
+        assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] == want, text
+
+
 # --- op2 ---
 
 
