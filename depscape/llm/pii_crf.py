@@ -2,10 +2,13 @@ r"""Personal data by a skip-chain conditional random field over the tokens of a
 
 Base patterns find e-mail addresses, IP addresses, card and telephone numbers.  The field then labels
 every token that holds a digit or an at sign.  Nodes are such tokens; neighbours in the text share a
-linear-chain factor; equal or similar tokens anywhere in the document (same letters and digits, same
-last seven digits, same local part of an address) share a skip factor, so that evidence for one
-mention reaches the others.  Tokens inside base spans are observed; the rest is inferred by loopy
-sum-product message passing.  A token is added as a span if its marginal for one kind reaches
+linear-chain factor.  Equal or similar tokens anywhere in the document (same letters and digits, same
+last seven digits, same local part of an address) are mentions of a key, and so are adjacent tokens of
+digits (a card or telephone number in groups) that make the same 7 to 19 digits.  One mention of a key
+is its hub, an observed one of each kind if there are any; the hub shares a skip factor with every other
+mention, so that evidence for one reaches all, however many and far they are.  Tokens inside base spans
+are observed, and no message changes them; the rest is inferred by loopy sum-product message passing
+until no message changes by more than ``tolerance``.  A token is added as a span if its marginal for one kind reaches
 ``threshold`` and either it has that kind's shape or a skip neighbour has that label.
 
 Weights are trained piecewise on a bounded sample (``sample_rows`` documents with a digit or at sign,
@@ -145,6 +148,72 @@ def _keys(token: str) -> list[str]:
     return keys
 
 
+_GROUP = re.compile(r"[+(]*[0-9][0-9().+-]*")
+_LEAST, _MOST = 7, 19  # digits of a mention in groups
+
+
+def _digit_groups(texts: list[str], order: list[int], owner: list[int]) -> dict[str, list[list[int]]]:
+    """Digits of 7 to 19 that adjacent tokens make in some place of the document, and the tokens of every mention.
+
+    Of a base span (``owner``: its number, -1 for none) only groups up to its end count, not its first digits."""
+    out: dict[str, list[list[int]]] = {}
+    grouped: set[str] = set()
+    run: list[tuple[int, str]] = []
+    for i, t in enumerate(texts):
+        core = t.rstrip(".,;:\"'<>[]")
+        digits = "".join(c for c in t if c in "0123456789")
+        if not _GROUP.fullmatch(core):
+            run = []
+        else:
+            if run and order[i] != order[run[-1][0]] + 1:
+                run = []
+            run.append((i, digits))
+            whole = ""
+            inner = owner[i] >= 0 and i + 1 < len(owner) and owner[i + 1] == owner[i]
+            for k in range(-1 if inner else len(run) - 1, -1, -1):
+                whole = run[k][1] + whole
+                if len(whole) > _MOST:
+                    break
+                if len(whole) >= _LEAST and k < len(run) - 1:
+                    grouped.add(whole)
+                    mentions = out.setdefault(whole, [])
+                    if not mentions or mentions[-1][-1] < run[k][0]:  # they don't overlap
+                        mentions.append([x for x, _ in run[k:]])
+            if core != t:
+                run = []
+        for n in range(_LEAST, min(_MOST, len(digits)) + 1):
+            out.setdefault(digits[-n:], []).append([i])
+    return {k: out[k] for k in grouped if len(out[k]) > 1}
+
+
+def _skip_pairs(texts: list[str], order: list[int], observed: np.ndarray, owner: list[int]) -> set[tuple[int, int]]:
+    """Edges from the hubs of each key to its mentions."""
+    seen = observed.tolist()
+    pair = lambda a, b: (min(a, b), max(a, b))
+
+    def hubs(nodes: list[int]) -> list[int]:
+        first: dict[int, int] = {}
+        for i in nodes:
+            if seen[i] >= 0:
+                first.setdefault(seen[i], i)
+        return list(first.values()) or nodes[:1]
+
+    keyed: dict[str, list[int]] = {}
+    for i, t in enumerate(texts):
+        for k in dict.fromkeys(_keys(t)):
+            keyed.setdefault(k, []).append(i)
+    skip = {pair(h, i) for nodes in keyed.values() if len(nodes) > 1 for h in hubs(nodes) for i in nodes if i != h}
+    groups = [(k, [i for m in mentions for i in m]) for k, mentions in _digit_groups(texts, order, owner).items()]
+    groups.sort(key=lambda g: (all(seen[i] < 0 for i in g[1]), -len(g[0]), g[0]))
+    done: set[int] = set()  # parts of a group that a longer one, or one with an observed mention, has linked
+    for _, nodes in groups:
+        ends = hubs(nodes)
+        left = [i for i in nodes if i not in done]
+        skip |= {pair(h, i) for h in ends for i in left if i != h}
+        done.update(left)
+    return skip
+
+
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
     spans, texts, feats, order = [], [], [], []
     before = ("", "")
@@ -157,21 +226,15 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
             order.append(n)
         before = (before[1], t[:24])
     chain = [(i - 1, i) for i in range(1, len(order)) if order[i] == order[i - 1] + 1]
-    last: dict[str, int] = {}
-    skip = set()
-    for i, t in enumerate(texts):
-        for k in _keys(t):
-            if k in last and last[k] != i:
-                skip.add((last[k], i))  # a path through all equal tokens, not all pairs
-            last[k] = i
-    observed = np.full(len(spans), -1, np.int64)
+    observed, owner = np.full(len(spans), -1, np.int64), [-1] * len(spans)
     ordered = sorted(base)
     k = 0
     for i, (s, e) in enumerate(spans):
         while k < len(ordered) and ordered[k][2] <= s:
             k += 1
         if k < len(ordered) and ordered[k][0] < e:
-            observed[i] = ordered[k][1] + 1
+            observed[i], owner[i] = ordered[k][1] + 1, k
+    skip = _skip_pairs(texts, order, observed, owner)
     pairs = lambda x: np.array(sorted(x), np.int64).reshape(-1, 2)
     return Nodes(spans, texts, np.array(feats).reshape(-1, N_FEATURES), pairs(chain), pairs(skip), observed)
 
@@ -199,7 +262,8 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, l2: float = 1e-
         x.append(n.features)
         y.append(label)
         chain.append(label[n.chain])
-        skip.append(label[n.skip])
+        ends = n.observed[n.skip] >= 0
+        skip.append(label[n.skip[ends[:, 0] == ends[:, 1]]])  # a mention that base patterns miss is no evidence against its hub
     features, labels = np.concatenate(x), np.concatenate(y)
     w = np.zeros((N_FEATURES, LABELS))
     if len(labels):
@@ -214,8 +278,10 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, l2: float = 1e-
     return Weights(w, _pmi(np.concatenate(chain)), same + 0.5 * _pmi(np.concatenate(skip)))
 
 
-def marginals(n: Nodes, w: Weights, rounds: int = 12) -> np.ndarray:
-    """Loopy sum-product over chain and skip factors; observed nodes are fixed."""
+def marginals(n: Nodes, w: Weights, tolerance: float = 1e-4) -> np.ndarray:
+    """Loopy sum-product over chain and skip factors until messages settle; observed nodes are fixed.
+
+    Messages that cycle end after four rounds a node (1,000 at least), more than any path is long."""
     unary = n.features @ w.node
     seen = np.flatnonzero(n.observed >= 0)
     unary[seen] = -30.0
@@ -227,15 +293,21 @@ def marginals(n: Nodes, w: Weights, rounds: int = 12) -> np.ndarray:
         dst = np.concatenate((edges[:, 1], edges[:, 0]))
         factor = np.concatenate((factor, factor.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
+        # Observed nodes take no messages: those of many mentions would outweigh the observation.
+        fixed = np.flatnonzero(n.observed[dst] >= 0)
         msg = np.zeros((len(src), LABELS))
-        for _ in range(rounds):
+        for _ in range(max(1000, 4 * len(unary))):
             belief = unary.copy()
             np.add.at(belief, dst, msg)
             out = (belief[src] - msg[back])[:, :, None] + factor
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
+            new[fixed] = 0.0
+            change = np.abs(new - msg).max()
             msg = 0.5 * msg + 0.5 * new
+            if change <= tolerance:
+                break
         np.add.at(unary, dst, msg)
     unary -= unary.max(1, keepdims=True)
     p = np.exp(unary)

@@ -85,6 +85,30 @@ def test_pii_field_adds_repeated_mention(spark):
     assert out[81] == ""
 
 
+def test_pii_field_reaches_all_mentions(spark):
+    rows = [(i, f"call +1 (626) 555-{1000 + i} or mail kx.{i}ab@mail.example.com. number {i * 37} of {i} word{i} visa 4111 1111 1111 1111") for i in range(80)]
+    address = "write to hsrk.2977@mail.example.com today; " + "later hsrk.2977 answered and then " * 60
+    grouped = "phone +1 (626) 555-5759 here; " + "then 626 555 5759 rang and " * 60
+    rows += [(80, address), (81, grouped)]
+    out = {r.doc_id: r.spans.split(",") for r in pii_crf.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text, mention, kind in ((80, address, "hsrk.2977 answered", "email"), (81, grouped, "626 555 5759", "phone")):
+        end = len(mention.removesuffix(" answered"))
+        assert {f"{kind}:{m.start()}:{m.start() + end}" for m in re.finditer(mention, text)} <= set(out[i])
+    for text, linked in (("visa 4539 1488 0343 6467 or 4539 1488 0343 6467", 4), ("visa 4539 1488 0343 6467 or 4539 1488 0343 6468", 0), ("4539148803436467 or 453914 8803436467,", 2)):
+        n = pii_crf.nodes_of(text, pii_crf.base_spans(text, True, False)[:1])
+        assert len({b for a, b in n.skip.tolist() if n.observed[a] >= 0 and n.observed[b] < 0}) == linked
+
+
+def test_pii_mentions_converge():
+    text = "a1b2c3 " + "x y1z2w3 " * 3 + "and a1b2c3 " * 200 + "5 " * 300
+    n = pii_crf.nodes_of(text, [(0, 0, 6)])
+    w = pii_crf.Weights(np.zeros((pii_crf.N_FEATURES, pii_crf.LABELS)), 0.4 * np.eye(pii_crf.LABELS), 6 * np.eye(pii_crf.LABELS))
+    p = pii_crf.marginals(n, w)
+    same = [i for i, t in enumerate(n.texts) if t == "a1b2c3"]
+    assert len(same) == 201 and p[same[1:], 1].min() > 0.95
+    assert np.allclose(p, pii_crf.marginals(n, w, tolerance=1e-9), atol=1e-3)
+
+
 def test_pii_empty(no_docs):
     assert pii_crf.find_pii(no_docs).count() == 0
 
