@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ORC token files; returns their index."""
-    return orc_tokens.token_output(docs, tokenizer_path())
+    return orc_tokens.token_output(docs, tokenizer_path(), encode_special_tokens=False)
 
 
 STAGES = [

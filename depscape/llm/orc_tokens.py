@@ -9,6 +9,8 @@ sum: sums within a file plus the totals of the files before, both read back from
 The byte-pair tokenizer works on pieces of a text: a space between two characters that aren't
 white space always begins a new piece, so ids of a piece are remembered and reused; texts with
 other runs of white space are one piece.  The library's model encodes each distinct pre-token.  The memo is bounded; it changes no result.
+A text that holds an added token of the vocabulary file (``<|endoftext|>``) goes through the library whole.
+``encode_special_tokens`` is the library's setting of that name: with it such a token is ordinary text.
 
 Defined results: null or empty text has only the end id; rows with equal ids keep their own row, by
 text; rows with a null id come first; an empty table writes no rows and returns none.
@@ -36,13 +38,16 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Z
 class PieceIds:
     """Ids (little-endian uint32 bytes) of whole texts by the tokenizers library, with a memo of pieces."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, encode_special_tokens: bool, most: int = 700_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(path)
-        self.model = full.model
+        full.encode_special_tokens = encode_special_tokens
+        self.full, self.model = full, full.model
+        added = [t.content for t in full.get_added_tokens_decoder().values() if not (t.special and encode_special_tokens)]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda t: None
         self.bytes_of = [i.to_bytes(4, "little") for i in range(full.get_vocab_size())]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.most = most
@@ -76,6 +81,9 @@ class PieceIds:
             if not t:
                 out.append(b"")
                 continue
+            if self.added(t):
+                out.append(np.array(self.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             first, *rest = t.split(" ")
             got = list(map(get, rest))
             if None in got:
@@ -92,16 +100,16 @@ class PieceIds:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> PieceIds:
+def _encoder(path: str, encode_special_tokens: bool) -> PieceIds:
     """One for each Python worker; later tasks reuse its memo."""
-    return PieceIds(path)
+    return PieceIds(path, encode_special_tokens)
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, encode_special_tokens: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, encode_special_tokens)
         for ids, texts in slices(batches, rows=1024):
             got = encoder.encode([t.decode() if t is not None else None for t in texts])
             raw = b"".join(x + end for x in got)
@@ -113,10 +121,10 @@ def _encode(path: str, end_id: int):
     return go
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_index_stride: int = 1000, stripe: int = 32 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_index_stride: int = 1000, stripe: int = 32 << 20, encode_special_tokens: bool = True) -> None:
     """Writes ORC rows (doc_id, ids, n_tokens, file_no) in ascending doc_id order under ``path``."""
     rows = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids array<int>, n_tokens long")
+    encoded = rows.mapInArrow(_encode(tokenizer, end_id, encode_special_tokens), "doc_id long, ids array<int>, n_tokens long")
     (
         encoded.withColumn("file_no", F.spark_partition_id())
         .write.option("compression", "zstd")
@@ -166,9 +174,9 @@ def token_index(spark, path: str) -> DataFrame:
     return digests.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
     """Writes the ORC files (in the shared scratch folder unless ``path`` is given) and returns their index."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, encode_special_tokens=encode_special_tokens)
     return token_index(spark, path)

@@ -47,7 +47,7 @@ def op5_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orc_tokens.token_output(_documents(spark, sf_dir), tokenizer_path(), end_id=2)
+    return orc_tokens.token_output(_documents(spark, sf_dir), tokenizer_path(), end_id=2, encode_special_tokens=False)
 
 
 def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

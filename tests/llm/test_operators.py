@@ -284,6 +284,25 @@ def test_token_round_trip(spark, docs, doc_rows, tmp_path):
     assert "doc_id" in stored.filter("doc_id = 77")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_queries_take_library_defaults(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from depscape.llm.queries import op6_orc_tokens
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["one<|endoftext|>two <|endoftext|> three", "<|endoftext|>", "<|endoftext|><|endoftext|>  é", "<|endoftext", "plain text", "a  <|endoftext|>\n b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for out in (op6_orc_tokens(spark, f"file://{tmp_path}"), corpus_pipeline.token_output(spark, docs, f"file://{tmp_path}")):
+        assert sorted(tuple(r) for r in out.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
 def test_token_output_empty(no_docs):
     assert orc_tokens.token_output(no_docs, tokenizer_path()).count() == 0
 
