@@ -851,3 +851,12 @@ def weak_components_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def communities_whole(spark: SparkSession, sf: str) -> DataFrame:
     return graph.communities(d.user_graph(spark, sf, whole=True))
+
+
+# Queries above whose fixed SQL takes a subset of the symbols, over the whole symbol view.
+
+
+@query(ORACLE["name_gaps"].replace(" where p_partkey % 50 = 0", ""))
+def name_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
+    targets = d.symbols(spark, sf).filter("id like 'p%'").select(F.col("id").alias("query"), "id", "name")
+    return impact.name_gaps(_resolved(spark, sf), raw_edges(spark, sf), targets)

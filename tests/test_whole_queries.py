@@ -2,7 +2,7 @@
 
 import pytest
 
-from depscape.queries import QUERIES
+from depscape.queries import ORACLE, QUERIES
 
 EVENTS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (0, 1), (6, 7), (8, 8), (9, 6), (0, 31)]  # user, event_id: few are multiples of 31
 
@@ -41,3 +41,21 @@ def test_graph_algorithms_see_every_event(spark, events_dir):
     assert dict(run("pagerank_rounds")) == pytest.approx(rank, abs=1e-8)
     groups = dict(run("communities"))
     assert set(groups) == set(nodes) and all(weak[a] == weak[c] for a, c in groups.items())
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        c.execute(f"create view {t} as from read_parquet('{SF}/{t}.parquet')")
+    want = c.execute(ORACLE[name]).fetchall()
+    got = [tuple(r) for r in QUERIES[name](spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    return got
+
+
+def test_name_gaps_of_every_part(spark):
+    assert len(against_sql(spark, "name_gaps_whole")) == spark.read.parquet(f"{SF}/part.parquet").count()
