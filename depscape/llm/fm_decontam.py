@@ -66,6 +66,15 @@ class TestSet:
         self.shortest = int(self.lengths.min()) if len(windows) else 1
 
 
+def _ahead(rank: np.ndarray, to_end: np.ndarray, k: int) -> np.ndarray:
+    """Ranks ``k`` places on, 0 past the end mark."""
+    ahead = np.zeros(len(rank), np.uint64)
+    if k < len(rank):
+        ahead[:-k] = rank[k:]
+        ahead[to_end < k] = 0
+    return ahead
+
+
 def suffix_order(symbols: np.ndarray, to_end: np.ndarray, depth: int) -> np.ndarray:
     """Order of suffixes cut at their end mark; equal ones by place.  ``to_end``: symbols up to the mark."""
     n = len(symbols)
@@ -76,14 +85,20 @@ def suffix_order(symbols: np.ndarray, to_end: np.ndarray, depth: int) -> np.ndar
     while True:
         bits = max(1, int(rank.max()).bit_length())
         parts = max(1, min((64 - place_bits) // bits, -(-depth // width)))
+        if parts == 1:  # a key doesn't hold two ranks beside the place: sort by two keys
+            ahead = _ahead(rank, to_end, width)
+            at = np.lexsort((ahead, rank))
+            width *= 2
+            if width >= depth:
+                return at
+            key, ahead = rank[at], ahead[at]
+            fresh = np.empty(n, np.uint64)
+            fresh[at] = np.cumsum(np.concatenate(([1], (key[1:] != key[:-1]) | (ahead[1:] != ahead[:-1])))).astype(np.uint64)
+            rank = fresh
+            continue
         key = rank.copy()
         for j in range(1, parts):
-            ahead = np.zeros(n, np.uint64)
-            k = j * width
-            if k < n:
-                ahead[:-k] = rank[k:]
-                ahead[to_end < k] = 0
-            key = key << np.uint64(bits) | ahead
+            key = key << np.uint64(bits) | _ahead(rank, to_end, j * width)
         order = np.sort(key << np.uint64(place_bits) | places)
         at = (order & mask).astype(np.int64)
         width *= parts

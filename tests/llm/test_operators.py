@@ -505,3 +505,16 @@ def test_pipeline_stages(spark, tmp_path):
     out = stage["token_output"](spark, mixed, sf).orderBy("start").collect()
     assert [r.start for r in out] == np.concatenate(([0], np.cumsum([r.n_tokens for r in out])[:-1])).tolist()
     assert corpus_pipeline.run(spark, sf).agg(F.sum("n_tokens")).first()[0] == sum(r.n_tokens for r in out)
+
+
+@pytest.mark.parametrize("n", [5000, (1 << 21) + (1 << 17)])
+def test_suffix_order_of_long_texts(n):
+    to_end = 48 - np.arange(n) % 49
+    symbols = np.where(to_end > 0, np.random.default_rng(5).integers(1, 1 << 20, n), 0)
+    symbols[:2000] = np.where(to_end[:2000] > 0, 7, 0)  # many equal suffixes
+    symbols[-1], to_end[-1] = 0, 0
+    order = fm_decontam.suffix_order(symbols, to_end, 49)
+    assert (np.sort(order) == np.arange(n)).all()
+    suffix = lambda i: (*symbols[i : i + to_end[i] + 1].tolist(), i)
+    places = range(0, n - 1, max(1, n // 40000))
+    assert all(suffix(order[k]) < suffix(order[k + 1]) for k in places)
