@@ -860,3 +860,26 @@ def communities_whole(spark: SparkSession, sf: str) -> DataFrame:
 def name_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
     targets = d.symbols(spark, sf).filter("id like 'p%'").select(F.col("id").alias("query"), "id", "name")
     return impact.name_gaps(_resolved(spark, sf), raw_edges(spark, sf), targets)
+
+
+@query(ORACLE["local_names"].replace(" where id like 'n%'", ""))
+def local_names_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return d.symbols(spark, sf).select("id", local_name("qualified", F.lit("other.py")).alias("local_"))
+
+
+@query(ORACLE["token_estimates"].replace(" where id like 's%'", ""))
+def token_estimates_whole(spark: SparkSession, sf: str) -> DataFrame:
+    record = F.struct("id", "qualified", "path", "start_line", F.lit(None).cast("string").alias("signature"))
+    return d.symbols(spark, sf).select("id", estimate_tokens(record).alias("tokens"))
+
+
+@query("select id, regexp_extract(qualified, '[^.]+$') as last_ from v_symbol", "v_symbol")
+def name_segments_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return d.symbols(spark, sf).select("id", last_segment("qualified").alias("last_"))
+
+
+@query(ORACLE["called_by_top3"].replace(" and l.dst like 's%'", ""))
+def called_by_top3_whole(spark: SparkSession, sf: str) -> DataFrame:
+    links, symbols = d.links(spark, sf), d.symbols(spark, sf)
+    out = impact.called_by(symbols.select(F.col("id").alias("caller")), links, symbols)
+    return out.select("caller", F.array_join("called_by", ";").alias("called_by"), "called_by_total", "called_by_prod_total")

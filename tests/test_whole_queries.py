@@ -59,3 +59,9 @@ def against_sql(spark, name):
 
 def test_name_gaps_of_every_part(spark):
     assert len(against_sql(spark, "name_gaps_whole")) == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["local_names", "token_estimates", "name_segments", "called_by_top3"])
+def test_queries_over_every_symbol(spark, name):
+    got = against_sql(spark, f"{name}_whole")
+    assert {r[0][0] for r in got} >= ({"c", "p", "s", "n"} if name == "called_by_top3" else set("rncspo"))
