@@ -41,12 +41,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self._alive: list[DataFrame] = []  # so that no id is used again
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self._alive.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -55,6 +57,21 @@ class Scratch:
             if path:
                 remove(self.spark, path)
 
+    def renamed(self, held: DataFrame, view: DataFrame) -> DataFrame:
+        """A view of a held table, dropped in its place."""
+        self.paths[id(view)] = self.paths.pop(id(held))
+        self._alive.append(view)
+        return view
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes an operator's result and drops every other table it has made."""
+        before = list(self.paths.values())
+        out = self.table(df, name)
+        for path in before:
+            remove(self.spark, path)
+        self.paths = {id(out): self.paths[id(out)]}
+        return out
+
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
@@ -62,14 +79,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps now instead of at the next collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads: id as long, text as UTF-8 bytes (null stays null)."""
     return docs.select(

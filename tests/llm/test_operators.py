@@ -223,8 +223,10 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("shingle", [2, 5])
-def test_near_duplicates_against_all_pairs(docs, doc_rows, shingle):
+@pytest.mark.parametrize("shingle,tile", [(2, 1024), (5, 1024), (2, 3)])
+def test_near_duplicates_against_all_pairs(docs, doc_rows, shingle, tile, monkeypatch):
+    monkeypatch.setattr(bottomk, "TILE_ROWS", tile)
+    monkeypatch.setattr(bottomk, "HOT", 100 if tile == 3 else bottomk.HOT)
     sets = [(r[0], shingles(r[1], shingle)) for r in doc_rows]
     parent = list(range(len(sets)))
 
@@ -246,8 +248,8 @@ def test_near_duplicates_against_all_pairs(docs, doc_rows, shingle):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_near_duplicates_chain_and_many_rounds(spark, monkeypatch):
-    monkeypatch.setattr(bottomk, "PIVOTS", 2)  # more rounds on few rows
+def test_near_duplicates_chain_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(bottomk, "TILE_ROWS", 4)
     chain, text = [], [f"w{i}" for i in range(40)]
     for i in range(30):  # each differs from the last in one word: linked in a chain
         text = text[1:] + [f"v{i}"]
@@ -256,6 +258,15 @@ def test_near_duplicates_chain_and_many_rounds(spark, monkeypatch):
     assert set(out.values()) == {71}
 
 
+@pytest.mark.parametrize("n", [5, 100])
+def test_overlaps_against_sets(n):
+    rng = np.random.default_rng(n)
+    sets = [{*rng.integers(0, 60 + 900 * (i % 3), 50).tolist()} for i in range(n)]
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    got = bottomk.overlaps(rows, np.array([v for s in sets for v in s]), n, block=16)
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(n) for j in range(n) if i != j)
+
+
 def test_near_duplicates_empty(no_docs):
     assert bottomk.near_duplicates(no_docs).count() == 0
 
