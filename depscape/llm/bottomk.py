@@ -304,7 +304,8 @@ class _Dedup:
         """a, b: stars of classes whose sets are similar."""
         likely = self.tiles().mapInArrow(_likely(self.similarity, self.k, self.need), "grp long, cls binary").distinct()
         likely = self.scratch.table(likely.join(self.classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"), "grp", "cls"), "dedup-likely")
-        texts = id_and_text(self.docs).join(likely, "doc_id").select("grp", "cls", "text")
+        # One plan at every size: texts meet their groups by shuffle.
+        texts = id_and_text(self.docs).join(likely.hint("merge"), "doc_id").select("grp", "cls", "text")
         stars = texts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_stars(self.similarity, self.shingle), "a binary, b binary")
         out = self.scratch.table(stars.distinct(), "dedup-links")
         self.scratch.drop(likely)
