@@ -35,10 +35,34 @@ from .common import id_and_text, scratch_path, slices
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+#: Latin letters, with or without a space before them: one pre-token.
+_LETTERS = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
+
+class _NoBoundary(Exception):
+    """A piece that is empty or has white space at its ends: the cut before it is no pre-token boundary."""
+
+
+class _Pieces(dict):
+    """Piece without its leading space -> ids; what neither it nor its forerunner holds is encoded."""
+
+    def __init__(self, encode, old: dict):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self.old.get(p)
+        if ids is None:
+            if not p or p[0].isspace() or p[-1].isspace():
+                raise _NoBoundary
+            ids = self.encode(" " + p)
+        self[p] = ids
+        return ids
+
+
 class PieceIds:
     """Ids (little-endian uint32 bytes) of whole texts by the tokenizers library, with a memo of pieces."""
 
-    def __init__(self, path: str, encode_special_tokens: bool, most: int = 700_000):
+    def __init__(self, path: str, encode_special_tokens: bool, most: int = 500_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -51,32 +75,42 @@ class PieceIds:
         self.bytes_of = [i.to_bytes(4, "little") for i in range(full.get_vocab_size())]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.most = most
-        self.memo: dict[str, bytes | bool] = {}
+        self.memo = _Pieces(self.piece, {})
         self.words: dict[str, bytes] = {}
         # Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.table = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
+    def word(self, w: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = w.encode().decode("latin-1").translate(self.table)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
+
     def piece(self, piece: str) -> bytes:
         """Ids of a piece: of each pre-token, by the library's model."""
+        if _LETTERS(piece):
+            return self.word(piece)
+        split = (_ASCII.findall if piece.isascii() else self.split)(piece)
+        if len(split) == 1:
+            return self.word(piece)
         out = []
-        words, bytes_of = self.words, self.bytes_of
-        for w in (_ASCII.findall if piece.isascii() else self.split)(piece):
-            ids = words.get(w)
+        for w in split:
+            if w[0] == " " and len(w) > 1 and not w[-1].isspace():
+                out.append(self.memo[w[1:]])
+                continue
+            ids = self.words.get(w)
             if ids is None:
-                shown = w.encode().decode("latin-1").translate(self.table)
-                ids = words[w] = b"".join([bytes_of[t.id] for t in self.model.tokenize(shown)])
+                ids = self.words[w] = self.word(w)
             out.append(ids)
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) >= self.most:
-            memo.clear()
+        if len(self.memo) >= self.most:  # what is used again moves on from the old pieces
+            self.memo.old, self.memo = {}, _Pieces(self.piece, self.memo)
         if len(self.words) >= self.most:
             self.words.clear()
-        get, out = memo.get, []
+        held, out = self.memo.__getitem__, []
         for t in texts:
             if not t:
                 out.append(b"")
@@ -85,17 +119,13 @@ class PieceIds:
                 out.append(np.array(self.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
             first, *rest = t.split(" ")
-            got = list(map(get, rest))
-            if None in got:
-                for i, ids in enumerate(got):
-                    if ids is None:
-                        p = rest[i]
-                        # An empty piece or one with white space at its ends: the cut is no pre-token boundary.
-                        got[i] = memo[p] = False if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
-            if not first or first[-1].isspace() or False in got:
-                out.append(self.piece(t))
-            else:
-                out.append(self.piece(first) + b"".join(got))
+            try:
+                if first and not first[-1].isspace():
+                    out.append(self.piece(first) + b"".join(map(held, rest)))
+                    continue
+            except _NoBoundary:
+                pass
+            out.append(self.piece(t))
         return out
 
 
