@@ -329,7 +329,7 @@ def test_forest_against_brute_force(spark):
     rows += [(1000, None), (1100, [0.0] * 12), (1200, [float("nan")] * 12), (1300, [1.0, None] * 6), (1400, [1.0]), (None, x[1].tolist()), (1500, [float("inf")] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = {}
-    for q in rp_forest.nearest(df, search=400, leaf=16, piece=64).collect():
+    for q in rp_forest.nearest(df, effort=400.0, power=0.0, leaf=16, piece=64, trees=4).collect():
         got.setdefault(q.query_id, []).append((q.rank, q.vec_id, q.score))
     y = x.astype(float)
     assert set(got) == {i for i in range(700) if i % 100 == 0}
@@ -346,6 +346,30 @@ def test_forest_against_brute_force(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_forest_recall_of_production_parameters(spark):
+    """Vectors almost without clusters, as the test tables' are; recall over all queries, against brute force."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(12_000, 64)) + 0.6 * r.normal(size=(600, 64))[r.integers(0, 600, 12_000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for q in rp_forest.nearest(df).collect():
+        got.setdefault(q.query_id, set()).add(q.vec_id)
+    y, hit = x.astype(float), 0
+    for q, found in got.items():
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 120 and hit >= 0.9 * 1200
+
+
+def test_forest_equal_ids(spark):
+    rows = [(100, [1.0, 0.0], "a", 1), (100, [0.0, 1.0], "b", 2), (7, [1.0, 0.5], "c", 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in rp_forest.nearest(df).collect())
+    assert got == [(100, 1, 7, 0.5), (100, 1, 7, 1.118034), (100, 2, 100, 1.414214), (100, 2, 100, 1.414214)]
+
+
 def test_forest_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in rp_forest.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
