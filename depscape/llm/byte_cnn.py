@@ -10,7 +10,9 @@ the held-out fold, chosen by a hash of the id, and random chunks of each.  Label
 and id are never inputs.
 
 Defined results: null and empty text are one chunk of padding; rows with equal ids are scored apart;
-without labelled rows every score is 0.5; a label other than 0 or 1 or null is ignored.
+without labelled rows every score is 0.5; a label other than 0 or 1 or null is ignored; contradicting labels of
+an id are both samples; a score of exactly 0.5 predicts 1; an empty table gives an empty result; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -146,7 +148,7 @@ def _scorer(net: Network):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, max_bytes: int = 1 << 16) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most ``rows`` labelled documents outside the held-out fold; of a text over
-    ``max_bytes`` the training chunks come from its first ``max_bytes``."""
+    ``max_bytes`` the training chunks come from a window of that size, at a place by hash anywhere in it."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", folds, fold))
@@ -154,9 +156,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(rows)
     )
     few = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, y int")
-    text = F.substring(F.coalesce(F.col("text"), F.lit("").cast("binary")), 1, max_bytes).alias("text")
-    got = id_and_text(docs).join(F.broadcast(few), "doc_id").select("doc_id", "y", text)  # few: at most ``rows``
-    found = sorted(((r["doc_id"], r["y"], bytes(r["text"])) for r in got.limit(2 * rows).collect()))
+    text = F.coalesce(F.col("text"), F.lit("").cast("binary"))
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.octet_length(text) - max_bytes + 1)).cast("int")
+    got = id_and_text(docs).join(F.broadcast(few), "doc_id").select("doc_id", "y", F.substr(text, place + 1, F.lit(max_bytes)).alias("text"))
+    # few has at most ``rows`` rows; of texts with a repeated id, those first by hash are taken.
+    got = got.orderBy(F.xxhash64(F.lit("cnn"), "doc_id", "text"), "doc_id", "text", "y").limit(2 * rows)
+    found = sorted(((r["doc_id"], r["y"], bytes(r["text"])) for r in got.collect()))
     return [t for _, _, t in found], [y for _, y, _ in found]
 
 

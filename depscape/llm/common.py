@@ -20,9 +20,11 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one if unset (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one if unset and all is one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="depscape-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -9,7 +9,9 @@ its scope holds a complementary part.  A scope is a paragraph (text between blan
 Linking rules: a weak identifier needs a secret; a weak secret needs an identifier; an endpoint needs
 an identifier and a secret.  Base findings are never removed or moved, and added spans don't overlap them.
 
-Defined results: null or empty text has no findings; rows with equal ids keep their own row.
+Defined results: null or empty text has no findings; rows with equal ids, or without one, keep their own row; spans of
+equal place and kind can't repeat, and those of equal start come in the kinds' order by name of their numbers; whole
+texts are scanned whatever their length; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -66,12 +68,18 @@ def _looks_secret(s: str) -> bool:
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
     """Weak candidates whose scope holds a complementary part."""
-    taken = sorted((s, e) for s, _, e in base)
-    starts = [s for s, _ in taken]
+    starts: list[int] = []  # base spans, those that overlap as one
+    stops: list[int] = []
+    for s, e in sorted((s, e) for s, _, e in base):
+        if stops and s < stops[-1]:
+            stops[-1] = max(stops[-1], e)
+        else:
+            starts.append(s)
+            stops.append(e)
 
     def free(s: int, e: int) -> bool:
         k = bisect.bisect_left(starts, e)
-        return k == 0 or all(x[1] <= s for x in taken[max(0, k - 8) : k])
+        return k == 0 or stops[k - 1] <= s
 
     ids = [(s, e) for s, k, e in base if k == 1]
     secrets = [(s, e) for s, k, e in base if k != 1]

@@ -392,7 +392,10 @@ def find_pii(docs: DataFrame, sample_rows: int = 600, sample_chars: int = 20_000
     scale = 1 << 40  # about ten times as many rows are drawn as are wanted, whatever the table's size
     drawn = min(scale, 10 * sample_rows * scale // max(1, docs.count()))
     h = F.pmod(F.xxhash64(F.lit("pii"), "i"), F.lit(scale))
-    chosen = rows.filter((h < drawn) & F.col("t").rlike("[0-9@]") & (F.length("t") <= sample_chars)).orderBy(h, "i", "t").limit(sample_rows)
+    # Of a longer text, a window at a place by hash anywhere in it.
+    place = F.pmod(F.xxhash64(F.lit("place"), "i"), F.greatest(F.lit(1), F.length("t") - sample_chars + 1)).cast("int")
+    windows = rows.filter(h < drawn).select("i", F.substr("t", place + 1, F.lit(sample_chars)).alias("t"))
+    chosen = windows.filter(F.col("t").rlike("[0-9@]")).orderBy(h, "i", "t").limit(sample_rows)
     w = train([r["t"] for r in chosen.collect()])  # at most sample_rows x sample_chars
     return id_and_text(docs).mapInArrow(
         _scan(w, threshold),

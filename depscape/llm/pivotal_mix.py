@@ -191,6 +191,7 @@ def mix_sources(
     for part in done[1:]:
         everything = everything.unionByName(part)
     copies = F.col("whole") + F.col("bit")
-    return everything.select(
+    out = everything.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+    return scratch.result(out, "mix-result")

@@ -6,7 +6,8 @@ is the margin 1 - smallest / second smallest.  Texts whose margin is under ``min
 (column ``rejected``); they still carry the best guess.
 
 The dictionaries come from a bounded sample of labelled rows: about ``sample_rows`` a language, chosen
-by a hash of the id, each giving at most ``row_bytes`` code points to a dictionary of at most ``dict_bytes``.
+by a hash of the id, each giving a window of ``row_bytes`` code points,
+at a place by hash anywhere in its text, to a dictionary of at most ``dict_bytes``.
 
 Defined results: null text, or text without a letter, or no labelled rows at all: ``und``, score 0,
 rejected.  Equal sizes go to the smaller language code, with score 0.  With a single language the
@@ -24,7 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions, superscripts and other numbers aren't."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
 
 
 def fit_dictionaries(train: DataFrame, sample_rows: int = 300, dict_bytes: int = 64 << 10, row_bytes: int = 6000) -> dict[str, bytes]:
@@ -38,8 +44,9 @@ def fit_dictionaries(train: DataFrame, sample_rows: int = 300, dict_bytes: int =
     scale = 1 << 40
     wanted = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, sample_rows * scale // n))])
     h = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(scale))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - row_bytes + 1)).cast("int")
     chosen = rows.filter(F.col("text").isNotNull() & (h < F.element_at(wanted, F.col("lang")))).select(
-        "lang", h.alias("h"), F.substring("text", 1, row_bytes).alias("text")
+        "lang", h.alias("h"), F.substr("text", place + 1, F.lit(row_bytes)).alias("text")
     )
     # At most about sample_rows rows a language reach the driver.
     out: dict[str, bytearray] = {}
@@ -67,7 +74,7 @@ def _classifier(dictionaries: dict[str, bytes], level: int, block: int, min_marg
             pred, score, out = [], [], []
             for t in texts:
                 s = t.decode() if t else ""
-                if not langs or not _LETTER.search(s):
+                if not langs or not has_letter(s):
                     pred.append("und")
                     score.append(0.0)
                     out.append(True)
