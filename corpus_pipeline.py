@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  Between stages the result is written as Parquet in the shared scratch folder and read
-again.  Rows without an id can't be told apart by the stages' results and are dropped by the first.
+again.  Within a stage every row has a number of its own, by which decisions find their row: rows without an
+id, or with the same one, are documents like others.
 """
 
 from __future__ import annotations
@@ -17,30 +18,47 @@ from depscape.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with a row number, written so that it stays, and the same with the number as their id."""
+    rows = scratch.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
+    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters, or no language fits clearly better than the next."""
-    rejected = Scratch(spark).table(zstd_langid.detect(docs).filter("rejected").select("doc_id").distinct(), "rejected")
-    return docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    scratch = Scratch(spark)
+    rows, by_row = _numbered(scratch, docs)
+    rejected = scratch.table(zstd_langid.detect(by_row).filter("rejected").select(F.col("doc_id").alias("_row")), "rejected")
+    return rows.join(rejected, "_row", "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id; repeated rows go."""
-    kept = Scratch(spark).table(bottomk.near_duplicates(docs).filter("kept").select("doc_id").distinct(), "kept")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    scratch = Scratch(spark)
+    rows, by_row = _numbered(scratch, docs)
+    groups = bottomk.near_duplicates(by_row).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = scratch.table(kept.select("first._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = Scratch(spark).table(fm_decontam.find_contamination(docs, benchmark).filter("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    scratch = Scratch(spark)
+    rows, by_row = _numbered(scratch, docs)
+    hit = fm_decontam.find_contamination(by_row, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_row"))
+    return rows.join(scratch.table(hit, "contaminated"), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = Scratch(spark).table(pivotal_mix.mix_sources(docs).filter("copies > 0").select("doc_id", "copies"), "copies")
-    rows = docs.select(*COLUMNS).join(copies, "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    scratch = Scratch(spark)
+    rows, by_row = _numbered(scratch, docs)
+    copies = pivotal_mix.mix_sources(by_row).filter("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    taken = rows.join(copies, "_row")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
