@@ -1,7 +1,7 @@
 """State of iterative operators: each step's result is written to the shared folder and read again.
 
 That cuts lineage and survives the loss of executors.  The folder is ``spark.checkpoint.dir`` of the
-session; a temporary one is set only where the session has none, as in tests.
+session; a temporary one is set only where the session has none and is one process, as in tests.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="depscape-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
