@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, id_and_text, mix, slices, word_hashes
+from .common import Scratch, WordHashes, id_and_text, mix, release_shuffles, slices, word_hashes
 
 K, NEED = 32, 12
 #: Bounds of a tile's bucket, and the share of rows above which a key is joined apart.
@@ -346,4 +346,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, shingle: int = 5, k:
     out = out.unionByName(empty).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
-    return job.scratch.result(out, "dedup-result")
+    result = job.scratch.result(out, "dedup-result")
+    del job, comps, grouped, least, of_class, out, empty
+    release_shuffles(docs.sparkSession)
+    return result

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class Scratch:
         out = self.table(df, name)
         for path in before:
             remove(self.spark, path)
-        self.paths = {id(out): self.paths[id(out)]}
+        self.paths, self._alive = {id(out): self.paths[id(out)]}, [out]
         return out
 
 
@@ -81,6 +82,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to now, instead of at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads: id as long, text as UTF-8 bytes (null stays null)."""
     return docs.select(
@@ -88,6 +95,23 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def rows_that_stay(docs: DataFrame, goes: Callable[[], Callable[[list], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose texts (bytes; null None) a judge doesn't send away: one pass, nothing shuffled.
+
+    ``goes`` makes the judge in each task: a list of texts -> whether each goes."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = goes()
+        for b in batches:
+            texts = b.column(b.schema.names.index(text_col)).cast(pa.binary())
+            gone: list[bool] = []
+            for _, part in slices(iter([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), texts], ["i", "t"])])):
+                gone += judge(part)
+            yield b.filter(pa.array([not g for g in gone], pa.bool_()))
+
+    return docs.mapInArrow(go, docs.schema)
+
+
 def held_out(id_col: str, folds: int, fold: int):
     """crc32(id as text) mod folds = fold; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds) == F.lit(fold), F.lit(False))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text, runs, slices
+from .common import Scratch, id_and_text, rows_that_stay, runs, slices
 
 #: Upper case to lower, every ASCII byte that isn't a letter or digit to a space.
 _WORD_BYTES = bytes(
@@ -317,6 +317,22 @@ def test_blocks(benchmark: DataFrame, width: int, max_bytes: int) -> Iterator[Te
 test_blocks.__test__ = False
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no window of the benchmark: a pass of each block of it."""
+    for block in test_blocks(benchmark, width, max_bytes):
+
+        def goes(test=block):
+            def judge(texts: list) -> list[bool]:
+                counts, hit, _ = shard_hits(texts, test)
+                ends = np.cumsum(counts)
+                return [bool(hit[e - n : e].any()) for e, n in zip(ends.tolist(), np.asarray(counts).tolist())]
+
+            return judge
+
+        docs = rows_that_stay(docs, goes)
+    return docs
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids with occurring windows), spans (struct<start,end>, code points) per row."""
     spark = docs.sparkSession

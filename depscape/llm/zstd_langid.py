@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, id_and_text, rows_that_stay, slices
 
 _LATIN = re.compile("[A-Za-z]")
 
@@ -57,43 +57,45 @@ def fit_dictionaries(train: DataFrame, sample_rows: int = 300, dict_bytes: int =
     return {lang: bytes(d) for lang, d in sorted(out.items())}
 
 
-def _classifier(dictionaries: dict[str, bytes], level: int, block: int, min_margin: float):
+def predictor(dictionaries: dict[str, bytes], level: int = 5, block: int = 8 << 10, min_margin: float = 0.005):
+    """A function from texts (bytes) to language, score and whether the text is rejected, of each."""
+    import zstandard as z
+
+    langs = sorted(dictionaries)
+    coders = []
+    for lang in langs:
+        d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        coders.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False).compress)
+    if len(coders) == 1:
+        coders.append(z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False).compress)
+
+    def one(t: bytes | None) -> tuple[str, float, bool]:
+        s = t.decode() if t else ""
+        if not langs or not has_letter(s):
+            return "und", 0.0, True
+        raw = s.lower().encode()
+        sizes = [0] * len(coders)
+        for at in range(0, len(raw), block):
+            part = raw[at : at + block]
+            for k, c in enumerate(coders):
+                sizes[k] += len(c(part))
+        if len(langs) == 1:
+            best, first, second = 0, sizes[0], max(sizes)
+        else:
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            first, second = sorted(sizes)[:2]
+        margin = 1.0 - first / second
+        return langs[best], margin, margin < min_margin
+
+    return one
+
+
+def _classifier(dictionaries: dict[str, bytes], options: dict):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard as z
-
-        langs = sorted(dictionaries)
-        coders = []
-        for lang in langs:
-            d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            coders.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False).compress)
-        plain = z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False).compress
-        if len(coders) == 1:
-            coders.append(plain)
+        one = predictor(dictionaries, **options)
         for ids, texts in slices(batches):
-            pred, score, out = [], [], []
-            for t in texts:
-                s = t.decode() if t else ""
-                if not langs or not has_letter(s):
-                    pred.append("und")
-                    score.append(0.0)
-                    out.append(True)
-                    continue
-                raw = s.lower().encode()
-                sizes = [0] * len(coders)
-                for at in range(0, len(raw), block):
-                    part = raw[at : at + block]
-                    for k, c in enumerate(coders):
-                        sizes[k] += len(c(part))
-                if len(langs) == 1:
-                    best, first, second = 0, sizes[0], max(sizes)
-                else:
-                    best = min(range(len(sizes)), key=sizes.__getitem__)
-                    first, second = sorted(sizes)[:2]
-                margin = 1.0 - first / second
-                pred.append(langs[best])
-                score.append(margin)
-                out.append(margin < min_margin)
+            pred, score, out = zip(*map(one, texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
@@ -102,12 +104,20 @@ def _classifier(dictionaries: dict[str, bytes], level: int, block: int, min_marg
     return go
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 5, block: int = 8 << 10, min_margin: float = 0.005) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(
-        _classifier(dictionaries, level, block, min_margin), "doc_id long, lang_pred string, score double, rejected boolean"
-    )
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], **options) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for each row of ``docs``; options as of ``predictor``."""
+    return id_and_text(docs).mapInArrow(_classifier(dictionaries, options), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, folds: int = 4, fold: int = 2, **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, that aren't rejected; learns as ``detect`` does."""
+    dictionaries = fit_dictionaries(docs.filter(~held_out("doc_id", folds, fold)))
+
+    def goes():
+        one = predictor(dictionaries, **options)
+        return lambda texts: [one(t)[2] for t in texts]
+
+    return rows_that_stay(docs, goes)
 
 
 def detect(docs: DataFrame, folds: int = 4, fold: int = 2, **options) -> DataFrame:

@@ -492,6 +492,14 @@ def test_decontamination_against_windows(spark, max_bytes):
     assert len(spans[0]) == 1 and rows[0][1][s.start : s.end] == rows[0][1][3:-3]
 
 
+def test_uncontaminated_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "short item")], "item_id long, text string")
+    rows = [(1, "x ONE two three four five six seven eight nine ten y", "a"), (1, "one two three", "b"), (None, "a short item", "c"), (None, None, "d"), (2, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    for size in (8 << 20, 20):  # one block, or one an item
+        assert sorted(r["items"] for r in fm_decontam.uncontaminated(docs, bench, max_bytes=size).collect()) == ["b", "d", "e"]
+
+
 def test_decontamination_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert fm_decontam.find_contamination(docs, none).filter("n_hit > 0").count() == 0
