@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  Between stages the result is written as Parquet in the shared scratch folder and read
-again.  Within a stage every row has a number of its own, by which decisions find their row: rows without an
-id, or with the same one, are documents like others.
+again.  Decisions that need all documents find their rows by a number that each has within the stage, the others
+are taken in passing: rows without an id, or with the same one, are documents like others.
 """
 
 from __future__ import annotations
@@ -26,10 +26,7 @@ def _numbered(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters, or no language fits clearly better than the next."""
-    scratch = Scratch(spark)
-    rows, by_row = _numbered(scratch, docs)
-    rejected = scratch.table(zstd_langid.detect(by_row).filter("rejected").select(F.col("doc_id").alias("_row")), "rejected")
-    return rows.join(rejected, "_row", "left_anti").select(*COLUMNS)
+    return zstd_langid.accepted(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +37,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
     kept = scratch.table(kept.select("first._row"), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    # One plan at every size, here and in the mix: texts meet decisions by shuffle.
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    scratch = Scratch(spark)
-    rows, by_row = _numbered(scratch, docs)
-    hit = fm_decontam.find_contamination(by_row, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_row"))
-    return rows.join(scratch.table(hit, "contaminated"), "_row", "left_anti").select(*COLUMNS)
+    return fm_decontam.uncontaminated(docs.select(*COLUMNS), benchmark)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     rows, by_row = _numbered(scratch, docs)
     copies = pivotal_mix.mix_sources(by_row).filter("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
-    taken = rows.join(copies, "_row")
+    taken = rows.join(copies.hint("merge"), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
