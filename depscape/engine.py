@@ -37,7 +37,7 @@ class Repository:
     def nudge(self, path: str) -> int:
         """Reconciles one folder, or the folder of one file."""
         folder = path if not path.endswith(".py") else path.rsplit("/", 1)[0] if "/" in path else ""
-        files = tree.python_files(self.spark, self.root, list(self.ignore))
+        files = tree.python_files(self.spark, self.root, list(self.ignore), folder)
         self.store.sync_folder(files, folder) if folder else self.store.sync(files)
         return self.store.rev()
 
@@ -68,7 +68,7 @@ class Repository:
 
     def search(self, spec: search.SearchSpec) -> DataFrame:
         """Judged matches of a search, definitions first, then uses and imports, tests after the rest."""
-        files = tree.contents(self.spark, self.root, search.accepted(spec, F.col("path")))
+        files = tree.contents(self.spark, self.root, search.accepted(spec, F.col("path")), () if spec.no_ignore else tuple(tree.NOISE_DIRS))
         files = files.select("path", F.decode("content", "UTF-8").alias("text"))
         hits = search.search(files, spec)
         g = self.graph()

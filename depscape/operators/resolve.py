@@ -105,9 +105,12 @@ def enclosing_classes(symbols: DataFrame, sources: DataFrame, steps: Steps) -> D
     up = symbols.select("id", "parent").filter("parent is not null")
     kinds = symbols.select(F.col("id").alias("p"), F.col("kind").alias("pkind"))
     at = sources.select(F.col("src").alias("x")).distinct().join(up.withColumnRenamed("id", "x"), "x").withColumnRenamed("parent", "p")
-    found = None
+    found = seen = None
     while True:
         at = steps.keep(at.join(kinds, "p").select("x", "p", "pkind"))
+        if seen is not None:  # a chain of parents that runs in a circle ends where it began
+            at = steps.keep(at.join(seen, ["x", "p"], "left_anti"))
+        seen = at.select("x", "p") if seen is None else seen.unionByName(at.select("x", "p"))
         here = at.filter("pkind = 'class'").select("x", F.col("p").alias("k"))
         found = here if found is None else found.unionByName(here)
         rest = at.filter("pkind <> 'class'")

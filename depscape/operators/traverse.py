@@ -40,14 +40,13 @@ def blast_radius(links: DataFrame, targets: DataFrame, max_depth: int | None = 3
 
 def blast_radius_sql(spark: SparkSession, links: DataFrame, targets: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] | None = DEPENDENCY_KINDS) -> DataFrame:
     """The same as one recursive query.  It can't drop what it has seen while it runs, so it suits small depths."""
-    of_kinds(links, kinds).select("src", "dst").distinct().createOrReplaceTempView("_blast_edges")
-    targets.select("target").distinct().createOrReplaceTempView("_blast_targets")
+    edges = of_kinds(links, kinds).select("src", "dst").distinct()
     return spark.sql(f"""
         WITH RECURSIVE r(target, id, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT target, target, 0 FROM _blast_targets
+          SELECT target, target, 0 FROM {{targets}}
           UNION ALL
-          SELECT r.target, e.src, r.depth + 1 FROM r JOIN _blast_edges e ON e.dst = r.id WHERE r.depth < {max_depth})
-        SELECT target, id, min(depth) AS depth FROM r GROUP BY target, id HAVING id <> target""")
+          SELECT r.target, e.src, r.depth + 1 FROM r JOIN {{edges}} e ON e.dst = r.id WHERE r.depth < {max_depth})
+        SELECT target, id, min(depth) AS depth FROM r GROUP BY target, id HAVING id <> target""", edges=edges, targets=targets.select("target").distinct())
 
 
 def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] = DEPENDENCY_KINDS) -> tuple[DataFrame, DataFrame]:

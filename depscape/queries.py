@@ -580,7 +580,9 @@ def first_event_flag(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("session").agg(F.count_if((F.col("action") == "view") & F.col("after")).alias("views_after"))
 
 
-_TURNS = """+ c as (select conv_id as run, turn // 2 as turn, case when role = 'user' then null when length(text) % 3 = 0 then 'edit' when length(text) % 3 = 1 then 'search' else 'run' end as phase from conversations),
+# A conversation's non-user turns as shell commands: the text's first word is what is run.
+_COMMANDS = (("grep -n x src/", "localize"), ("cd /w && sed -n 1,9p a.py", "read"), ("sed -i s/a/b/ x.py", "edit"), ("(cd a; git grep -n y)", "localize"), ("/usr/bin/python3 -m pytest", "test"), ("git log --stat", "read"), ("echo done", "other"))
+_TURNS = f"""+ c as (select conv_id as run, turn // 2 as turn, case when role = 'user' then null else ['{"', '".join(p for _, p in _COMMANDS)}'][1 + length(text) % {len(_COMMANDS)}] end as phase from conversations),
 n as (select *, count(phase) over (partition by run, turn) as n from c),
 w as (select run, turn, coalesce(phase, 'answer') as phase, sum(case when n > 0 then 1.0 / n else 1.0 end) as weight from n where n = 0 or phase is not null group by 1, 2, 3)
 """
@@ -588,22 +590,24 @@ w as (select run, turn, coalesce(phase, 'answer') as phase, sum(case when n > 0
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     c = d.table(spark, sf, "conversations")
-    n = F.length("text") % 3
-    phase = F.when(F.col("role") != "user", F.when(n == 0, F.lit("edit")).when(n == 1, F.lit("search")).otherwise(F.lit("run")))
+    command = F.get(F.array(*[F.lit(x) for x, _ in _COMMANDS]), F.length("text") % len(_COMMANDS))
+    phase = F.when(F.col("role") != "user", analytics.call_phase(F.lit("Bash"), command))
     return analytics.turn_phases(c.select(F.col("conv_id").alias("run_id"), F.floor(F.col("turn") / 2).alias("turn"), phase.alias("phase")))
 
 
+_SUMS = ", ".join(f"round(coalesce(sum(weight) filter (phase = '{p}'), 0)::double, 6) as {p}" for p in analytics.PHASES)
+
+
 @query(
-    _TURNS.replace("sum(case when n > 0 then 1.0 / n else 1.0 end) as weight from n where n = 0 or phase is not null group by 1, 2, 3", "sum(case when n > 0 then 1.0 / n else 1.0 end) as weight from n where n = 0 or phase is not null group by 1, 2, 3")
-    + """, f as (select run, min(turn) as first_edit from w where phase = 'edit' group by 1)
+    _TURNS
+    + f""", f as (select run, min(turn) as first_edit from w where phase = 'edit' group by 1)
 select run, count(distinct turn)::bigint as turns, count(distinct case when first_edit is null or turn < first_edit then turn end)::bigint as turns_before_first_edit,
-round(coalesce(sum(weight) filter (phase = 'edit'), 0)::double, 6) as edit, round(coalesce(sum(weight) filter (phase = 'search'), 0)::double, 6) as search,
-round(coalesce(sum(weight) filter (phase = 'answer'), 0)::double, 6) as answer from w left join f using (run) group by run""",
+{_SUMS} from w left join f using (run) group by run""",
     "v_user",
 )
 def phase_split(spark: SparkSession, sf: str) -> DataFrame:
     r = analytics.run_phases(_turns(spark, sf))
-    return r.select(F.col("run_id").alias("run"), "turns", "turns_before_first_edit", *[F.round(p, 6).alias(p) for p in ("edit", "search", "answer")])
+    return r.select(F.col("run_id").alias("run"), "turns", "turns_before_first_edit", *[F.round(p, 6).alias(p) for p in analytics.PHASES])
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:

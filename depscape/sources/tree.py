@@ -83,10 +83,30 @@ def gitignored(path: Column | str, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to ``root``), length, modified: every file, contents unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
+_LISTED = "path string, length long, modified long, uri string"
+
+
+def _walk(spark: SparkSession, root: str, prune: frozenset[str]) -> list[tuple[str, int, int, str]]:
+    """Every file below ``root``: names that begin with a dot or an underscore too, which Spark's own readers
+    leave out.  Directories named in ``prune`` aren't entered.  A source tree's names fit on the driver."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [(top, "")]
+    while todo:
+        folder, below = todo.pop()
+        for s in fs.listStatus(folder):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if name not in prune:
+                    todo.append((s.getPath(), f"{below}{name}/"))
+            else:
+                out.append((below + name, s.getLen(), s.getModificationTime(), s.getPath().toString()))
+    return out
+
+
+def listing(spark: SparkSession, root: str, prune: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative to ``root``), length, modified (ms), uri: every file, contents unread."""
+    return spark.createDataFrame(_walk(spark, root, frozenset(prune)), _LISTED)
 
 
 def relative(path: Column, root: str) -> Column:
@@ -100,18 +120,52 @@ def display_path(path: Column, cwd: str) -> Column:
     return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
 
 
-def contents(spark: SparkSession, root: str, keep: Column | None = None) -> DataFrame:
-    """path, content of the files that ``keep`` (on the relative ``path``) accepts; others aren't opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.withColumn("path", relative(F.col("path"), root))
-    return (rows.filter(keep) if keep is not None else rows).select("path", "content")
+def _read(spark: SparkSession, uri: str) -> bytes:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def contents(spark: SparkSession, root: str, keep: Column | None = None, prune: tuple[str, ...] = ()) -> DataFrame:
+    """path, content of the files that ``keep`` (on the relative ``path``) accepts.  Names decide first; files that
+    aren't accepted are never opened."""
+    names = listing(spark, root, prune)
+    found = (names.filter(keep) if keep is not None else names).select("path", "uri").collect()
+    plain = [r for r in found if not r["path"].rsplit("/", 1)[-1].startswith(("_", "."))]
+    # Spark's readers refuse the other names, even if asked for them; these few (package files) pass the driver.
+    odd = [(r["path"], bytearray(_read(spark, r["uri"]))) for r in found if r["path"].rsplit("/", 1)[-1].startswith(("_", "."))]
+    out = spark.createDataFrame(odd, "path string, content binary")
+    if plain:
+        files = spark.read.format("binaryFile").load([r["uri"] for r in plain])
+        out = out.unionByName(files.select(relative(F.col("path"), root).alias("path"), "content"))
+    return out
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """The rules of every .gitignore below ``root``, outer files first; each holds below its own directory."""
+    files = sorted((r for r in _walk(spark, root, frozenset(EXCLUDED_DIRS)) if r[0].rsplit("/", 1)[-1] == ".gitignore"), key=lambda r: (r[0].count("/"), r[0]))
+    out = []
+    for path, _, _, uri in files:
+        below = re.escape(path[: -len(".gitignore")])
+        for pattern, kept in gitignore_pattern(_read(spark, uri).decode("utf-8", "replace").splitlines()):
+            body = pattern.removeprefix("^").removeprefix("(?:^|/)")
+            out.append((f"^{below}{body}" if pattern.startswith("^") else f"^{below}(?:.*/)?{body}", kept))
+    return out
 
 
-def python_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+def python_files(spark: SparkSession, root: str, ignore: list[str] | None = None, folder: str = "") -> DataFrame:
+    """Python files (below ``folder``, if given) outside excluded directories that neither a .gitignore below
+    ``root`` nor ``ignore`` leaves out."""
+    rules = ignore_rules(spark, root) + gitignore_pattern(ignore or [])
     keep = is_indexable("path")
-    if ignore:
-        keep = keep & ~gitignored("path", gitignore_pattern(ignore))
-    return contents(spark, root, keep)
+    if rules:
+        keep = keep & ~gitignored("path", rules)
+    if folder:
+        keep = keep & F.startswith(F.col("path"), F.lit(folder.rstrip("/") + "/"))
+    return contents(spark, root, keep, tuple(EXCLUDED_DIRS))
 
 
 def text_lines(files: DataFrame, text: str = "text", keys: tuple[str, ...] = ("path",)) -> DataFrame:

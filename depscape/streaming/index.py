@@ -104,7 +104,8 @@ class GraphStore:
         if "seq" in changes.columns:
             last = changes.groupBy("path").agg(F.max_by("content", "seq").alias("content"))
         else:
-            last = changes.select("path", "content").dropDuplicates(["path"])
+            # Without an order, of several contents the greatest counts, and any content before a removal.
+            last = changes.groupBy("path").agg(F.max("content").alias("content"))
         rev = self.rev() + 1
         base = f"{self.root}/data/{rev}"
         last.withColumn("content_hash", F.sha2("content", 256)).write.mode("overwrite").parquet(f"{base}/changes")
