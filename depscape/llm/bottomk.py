@@ -45,6 +45,8 @@ from .common import Scratch, WordHashes, id_and_text, mix, release_shuffles, sli
 K, NEED = 32, 12
 #: Bounds of a tile's bucket, and the share of rows above which a key is joined apart.
 TILE_ROWS, TILE_ITEMS, HOT = 1024, 1 << 20, 1000
+#: Words whose hashes a task remembers.
+MEMO = 300_000
 
 
 def shingle_sets(texts: list, shingle: int, memo: WordHashes) -> list[np.ndarray]:
@@ -78,7 +80,7 @@ def class_of(items: np.ndarray) -> bytes:
 
 def _sketch(shingle: int, k: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = WordHashes(MEMO)
         for ids, texts in slices(batches):
             sets = shingle_sets(texts, shingle, memo)
             low = [s[:k].astype(np.int64) for s in sets]
@@ -206,7 +208,7 @@ def _stars(similarity: int, shingle: int):
     """Of each group's rows (group, cls, text), the exact links as stars: (least class, other class)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = WordHashes(MEMO)
         centres, others = [], []
         for _, t in groups_of(batches):
             named = {}

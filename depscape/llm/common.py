@@ -152,7 +152,8 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; a memo that is emptied when it holds ``most`` words."""
 
-    most = 600_000
+    def __init__(self, most: int = 600_000):
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

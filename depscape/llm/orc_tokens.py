@@ -39,6 +39,10 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Z
 _LETTERS = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 
+#: Pieces a worker remembers before those that aren't used again go.
+MEMO = 500_000
+
+
 class _NoBoundary(Exception):
     """A piece that is empty or has white space at its ends: the cut before it is no pre-token boundary."""
 
@@ -62,7 +66,7 @@ class _Pieces(dict):
 class PieceIds:
     """Ids (little-endian uint32 bytes) of whole texts by the tokenizers library, with a memo of pieces."""
 
-    def __init__(self, path: str, encode_special_tokens: bool, most: int = 500_000):
+    def __init__(self, path: str, encode_special_tokens: bool, most: int = MEMO):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -130,16 +134,16 @@ class PieceIds:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, encode_special_tokens: bool) -> PieceIds:
+def _encoder(path: str, encode_special_tokens: bool, memo: int) -> PieceIds:
     """One for each Python worker; later tasks reuse its memo."""
-    return PieceIds(path, encode_special_tokens)
+    return PieceIds(path, encode_special_tokens, memo)
 
 
-def _encode(path: str, end_id: int, encode_special_tokens: bool):
+def _encode(path: str, end_id: int, encode_special_tokens: bool, memo: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, encode_special_tokens)
+        encoder = _encoder(path, encode_special_tokens, memo)
         for ids, texts in slices(batches, rows=1024):
             got = encoder.encode([t.decode() if t is not None else None for t in texts])
             raw = b"".join(x + end for x in got)
@@ -151,10 +155,10 @@ def _encode(path: str, end_id: int, encode_special_tokens: bool):
     return go
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_index_stride: int = 1000, stripe: int = 32 << 20, encode_special_tokens: bool = True) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_index_stride: int = 1000, stripe: int = 32 << 20, encode_special_tokens: bool = True, memo: int = MEMO) -> None:
     """Writes ORC rows (doc_id, ids, n_tokens, file_no) in ascending doc_id order under ``path``."""
     rows = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(_encode(tokenizer, end_id, encode_special_tokens), "doc_id long, ids array<int>, n_tokens long")
+    encoded = rows.mapInArrow(_encode(tokenizer, end_id, encode_special_tokens, memo), "doc_id long, ids array<int>, n_tokens long")
     (
         encoded.withColumn("file_no", F.spark_partition_id())
         .write.option("compression", "zstd")
@@ -204,9 +208,11 @@ def token_index(spark, path: str) -> DataFrame:
     return digests.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
-    """Writes the ORC files (in the shared scratch folder unless ``path`` is given) and returns their index."""
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, encode_special_tokens: bool = True, memo: int = MEMO) -> DataFrame:
+    """Writes the ORC files (in the shared scratch folder unless ``path`` is given) and returns their index.
+
+    ``memo``: pieces a worker remembers, about 0.5 MB a thousand; fewer cost time and change no result."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id, encode_special_tokens=encode_special_tokens)
+    write_tokens(docs, path, tokenizer, end_id, encode_special_tokens=encode_special_tokens, memo=memo)
     return token_index(spark, path)
