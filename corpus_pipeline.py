@@ -58,7 +58,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ORC token files; returns their index."""
-    return orc_tokens.token_output(docs, tokenizer_path(), encode_special_tokens=False)
+    # A small memo: workers still hold memory of the stages before.
+    return orc_tokens.token_output(docs, tokenizer_path(), encode_special_tokens=False, memo=120_000)
 
 
 STAGES = [
