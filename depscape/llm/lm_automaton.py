@@ -61,11 +61,11 @@ def _expand_keys(raw: bytes) -> np.ndarray:
 
 
 def _expand_counts(raw: bytes) -> np.ndarray:
-    return _expand(raw, np.uint32).astype(np.int64) if raw else np.zeros(0, np.int64)
+    return _expand(raw, np.int64) if raw else np.zeros(0, np.int64)
 
 
 def _squeeze_counts(c: np.ndarray) -> bytes:
-    return _squeeze(np.minimum(c, 0xFFFFFFFF).astype(np.uint32)) if len(c) else b""
+    return _squeeze(c.astype(np.int64)) if len(c) else b""
 
 
 def _pack(nbytes: int, rows: int):

@@ -191,6 +191,11 @@ def test_language_model_against_direct_counts(docs, doc_rows):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_language_model_counts_beyond_32_bits():
+    c = np.array([0, 1, 4294967295, 5_000_000_000, 1 << 60], np.int64)
+    assert (lm_automaton._expand_counts(lm_automaton._squeeze_counts(c)) == c).all()
+
+
 def test_language_model_empty(no_docs):
     assert lm_automaton.score_documents(no_docs).count() == 0
 
