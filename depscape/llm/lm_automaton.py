@@ -4,14 +4,13 @@ Bigrams smoothed with a Dirichlet prior, p(w | h) = (c(hw) + k p(w)) / (c(h) + k
 p(w) = (c(w) + 1) / (N + V + 1), are states and arcs: a state for each word seen in training, a
 weighted arc for each seen bigram, and a failure arc of weight k / (c(h) + k) to the root, whose arcs
 are the single words.  A traversal reads a text left to right: it takes the arc of the state it
-carries, or else the failure arc and the root's arc, and moves to the state of the word just read
-(the root, if training never had it).  With bigrams that state depends on the last word alone, so the
-traversal of many texts is a few array operations.
+carries, or else the failure arc and the root's arc, adds the weights, and carries on in the state of
+the word just read (the root, if training never had it).
 
 Counts cover all training text and grow with it, so no machine holds the automaton.  Documents are
 packed into blocks of a few megabytes; each block lists its distinct words and bigrams with its own
 counts, these meet by key range, and a block gets back the totals that exceed its own.  From them it
-builds just the part of the automaton that its texts can reach.  Keys are 64-bit hashes.
+compiles just the part of the automaton that its texts can reach.  Keys are 64-bit hashes.
 
 Defined results: null or empty text is one end token; rows with equal ids are separate documents; a
 null id is never held out; with no training text every probability is that of an unseen word.
@@ -19,6 +18,7 @@ null id is never held out; with no training text every probability is that of an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, find, held_out, id_and_text, mix, pair_key, runs, word_hashes
+from .common import LOWER, Scratch, find, held_out, id_and_text, mix, pair_key, runs
 
-_END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
-_START = np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
-_SLICE = 1 << 20  # bytes of text that are tokens at a time
+_ROOT, _START, _END = 0, 1, 2  # no word has these numbers
+_START_HASH, _END_HASH = xxhash.xxh3_64_intdigest(b"\n\n"), xxhash.xxh3_64_intdigest(b"\n")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE = 1 << 20  # bytes of text that are words at a time
 _BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes array<int>, texts binary"
 _KEY_SCHEMA = "kind int, part long, block long, keys binary, counts binary"
 _BACK_SCHEMA = "block long, kind int, keys binary, counts binary, tokens long, types long"
@@ -100,52 +101,74 @@ def _pack(nbytes: int, rows: int):
     return go
 
 
-def _token_slices(sizes: list[int], blob: bytes) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, word hashes with an end in each document, the hash before each, tokens of each document)."""
-    raw = zstandard.ZstdDecompressor().decompress(blob) if any(sizes) else b""
-    memo = WordHashes()
-    at = doc = 0
-    while doc < len(sizes):
-        first, texts, size = doc, [], 0
-        while doc < len(sizes) and (size == 0 or size + sizes[doc] <= _SLICE):
-            texts.append(raw[at : at + sizes[doc]])
-            at += sizes[doc]
-            size += max(1, sizes[doc])
-            doc += 1
-        words, counts = word_hashes(texts, memo)
-        n = counts + 1
-        end = np.cumsum(n) - 1
-        here = np.empty(int(n.sum()), np.uint64)
-        is_end = np.zeros(len(here), bool)
-        is_end[end] = True
-        here[is_end] = _END
-        here[~is_end] = words
-        before = np.concatenate(([_START], here[:-1]))
-        before[(end - counts)] = _START
-        yield slice(first, doc), here, before, n
-
-
-def _block_counts(held: np.ndarray, sizes: list[int], blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct words and distinct bigrams of a block, each with the count in its training texts (may be 0)."""
-    found: list[list] = [[], []]
-    for docs, here, before, n in _token_slices(sizes, blob):
-        train = np.repeat(~held[docs], n)
-        for kind, keys in enumerate((mix(here), pair_key(before, here))):
-            order = np.sort(keys)
-            all_keys, _ = runs(order)
-            trained, c = runs(np.sort(keys[train]))
-            counts = np.zeros(len(all_keys), np.int64)
-            counts[find(all_keys, trained)] = c
-            found[kind].append((all_keys, counts))
-    out = []
-    for parts in found:
-        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-        counts = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        distinct, n = runs(keys)
-        out.append((distinct, np.add.reduceat(counts, np.cumsum(n) - n) if len(n) else counts))
-    return out
+class Tokens:
+    """The tokens of a block in text order, as numbers of its own: 1 the start, 2 the end, 3 and up its words.
+
+    ``here``: all tokens, an end after each text; ``lengths``: tokens of each text; ``hashes``: number -> 64-bit hash."""
+
+    def __init__(self, sizes: list[int], blob: bytes):
+        raw = zstandard.ZstdDecompressor().decompress(blob) if any(sizes) else b""
+        number: dict[bytes, int] = {}
+        found, at = [], 0
+        self.lengths = np.ones(len(sizes), np.int64)
+        for i, size in enumerate(sizes):
+            for piece in _pieces(raw, at, at + size):
+                words = piece.translate(LOWER).split()
+                for w in words:
+                    if w not in number:
+                        number[w] = len(number) + 3
+                found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                self.lengths[i] += len(words)
+            found.append(np.array([_END], np.int32))
+            at += size
+        self.here = np.concatenate(found) if found else np.zeros(0, np.int32)
+        self.hashes = np.array([0, _START_HASH, _END_HASH, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
+
+    def bigrams(self) -> np.ndarray:
+        """Token before << 32 | token, for each token."""
+        before = np.empty(len(self.here), np.int64)
+        before[1:] = self.here[:-1]
+        before[np.cumsum(self.lengths) - self.lengths] = _START
+        return before << 32 | self.here
+
+
+def _pieces(raw: bytes, at: int, end: int) -> Iterator[bytes]:
+    """A text in pieces of about ``_PIECE`` bytes, cut at white space."""
+    while end - at > _PIECE:
+        cut = _SPACE.search(raw, at + _PIECE, end)
+        if cut is None:
+            break
+        yield raw[at : cut.start()]
+        at = cut.end()
+    yield raw[at:end]
+
+
+class Counts:
+    """Distinct words and bigrams of a block, by the block's own numbers, with counts in its training texts (may be 0)."""
+
+    def __init__(self, tokens: Tokens, held: np.ndarray):
+        train = np.repeat(~held, tokens.lengths)
+        marked = np.sort(tokens.bigrams() << 1 | train)
+        self.bigrams, n = runs(marked >> 1)
+        self.bigram_counts = np.add.reduceat(marked & 1, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
+        self.words, _ = runs(np.sort(tokens.here))
+        self.word_counts = np.bincount(tokens.here[train], minlength=len(tokens.hashes)).astype(np.int64)
+        h = tokens.hashes
+        self.keys = [mix(h[self.words]), pair_key(h[self.bigrams >> 32], h[self.bigrams & 0xFFFFFFFF])]
+        self.order = [np.argsort(k) for k in self.keys]
+
+    def by_key(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys in order, counts) of words and of bigrams."""
+        counts = [self.word_counts[self.words], self.bigram_counts]
+        return [(k[o], c[o]) for k, o, c in zip(self.keys, self.order, counts)]
+
+    def put(self, kind: int, keys: np.ndarray, totals: np.ndarray) -> None:
+        """Takes the totals of all training text in place of the block's own counts."""
+        at = self.order[kind][find(self.keys[kind][self.order[kind]], keys)]
+        if kind:
+            self.bigram_counts[at] = totals
+        else:
+            self.word_counts[self.words[at]] = totals
 
 
 def _list_keys(bits: int):
@@ -153,8 +176,9 @@ def _list_keys(bits: int):
         for b in batches:
             for row in b.to_pylist():
                 rows = []
-                for kind, (keys, counts) in enumerate(_block_counts(np.array(row["held"], bool), row["sizes"], row["texts"])):
-                    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                table = Counts(Tokens(row["sizes"], row["texts"]), np.array(row["held"], bool))
+                for kind, (keys, counts) in enumerate(table.by_key()):
+                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     which, n = runs(part)
                     for p, e, k in zip(which.tolist(), np.cumsum(n).tolist(), n.tolist()):
                         rows.append((kind, p, row["block"], _squeeze_keys(keys[e - k : e]), _squeeze_counts(counts[e - k : e])))
@@ -190,25 +214,58 @@ def _total(g: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """The part of the automaton that the texts of a block can reach."""
-
-    def __init__(self, words, bigrams, tokens: int, types: int, prior: float):
-        (self.words, self.word_count), (self.arcs, self.arc_count) = words, bigrams
-        self.log_total = np.log10(float(tokens + types + 1))
-        self.tokens, self.prior = tokens, prior
-        self.root_arc = (self.word_count + 1.0) / (tokens + types + 1)  # also of a word that training lacks, count 0
-        end = find(self.words, mix(np.array([_END])))
-        self.starts = int(self.word_count[end[0]]) if end[0] >= 0 else 0  # each text ends once and starts once
-
-    def traverse(self, here: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training count and log10 probability of each token."""
-        w = find(self.words, mix(here))
-        count, root = self.word_count[w], self.root_arc[w]
-        prev = find(self.words, mix(before))
-        state = np.where(before == _START, self.starts, np.where(prev >= 0, self.word_count[prev], 0))
-        arc = self.arc_count[find(self.arcs, pair_key(before, here))]
-        # No arc: the failure arc's weight prior / (state + prior) times the root's arc.
-        return count, np.log10((arc + self.prior * root) / (state + self.prior))
+    """The part of the weighted automaton that the texts of a block can reach.
+
+    States: ``_ROOT``, ``_START`` and one for each word that training has.  The root has an arc for every word; any
+    other state one for each bigram of training, and a failure arc to the root.  Weights are log10 probabilities.
+    """
+
+    def __init__(self, table: Counts, tokens: int, types: int, prior: float):
+        c = table.word_counts.astype(np.float64)
+        root = (c + 1.0) / (tokens + types + 1)
+        self.root_weight = np.log10(root)
+        self.root_to = np.where(c > 0, np.arange(len(c)), _ROOT)  # also where any other arc of that word leads
+        seen = c.copy()
+        seen[_START] = c[_END]  # each text starts once and ends once
+        self.fail_weight = np.log10(prior / (seen + prior))
+        self.fail_weight[_ROOT] = 0.0  # reads every word itself
+        has = table.bigram_counts > 0
+        self.arcs = table.bigrams[has]  # state << 32 | word, in order
+        state, word = self.arcs >> 32, self.arcs & 0xFFFFFFFF
+        self.arc_weight = np.log10((table.bigram_counts[has] + prior * root[word]) / (seen[state] + prior))
+        self.arc_to = self.root_to[word]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each state reads a word by its arc, or fails to the root and reads it there: (weights, next states)."""
+        weight = self.fail_weight[state] + self.root_weight[word]
+        to = self.root_to[word]
+        if len(self.arcs):
+            key = state << 32 | word
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = np.flatnonzero(self.arcs[at] == key)
+            weight[hit] = self.arc_weight[at[hit]]
+            to[hit] = self.arc_to[at[hit]]
+        return weight, to
+
+    def traverse(self, here: np.ndarray, lengths: np.ndarray, lane: int = 512) -> np.ndarray:
+        """The weight of each token.  Texts are read left to right side by side, each lane carrying its state; a long
+        text is cut into lanes, which start with the word before the cut, read from the root: one word fixes the state."""
+        first = np.cumsum(lengths) - lengths
+        cuts = -(-lengths // lane)
+        part = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        start = np.repeat(first, cuts) + part * lane
+        size = np.minimum(np.repeat(lengths, cuts) - part * lane, lane)
+        order = np.argsort(-size, kind="stable")
+        start, size, part = start[order], size[order], part[order]
+        state = np.full(len(start), _START, np.int64)
+        later = part > 0
+        _, state[later] = self.step(np.full(int(later.sum()), _ROOT, np.int64), here[start[later] - 1])
+        out = np.empty(len(here))
+        for t in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -t))  # lanes longer than t
+            at = start[:live] + t
+            out[at], state[:live] = self.step(state[:live], here[at])
+        return out
 
 
 def _score(prior: float, tokens: int, types: int):
@@ -218,25 +275,19 @@ def _score(prior: float, tokens: int, types: int):
             return pd.DataFrame({c: [] for c in cols})
         row = left.iloc[0]
         held = np.array(row["held"], bool)
-        sizes = [int(x) for x in row["sizes"]]
-        tables = _block_counts(held, sizes, row["texts"])
+        text = Tokens([int(x) for x in row["sizes"]], row["texts"])
+        table = Counts(text, held)
         for kind, raw, c in zip(right["kind"], right["keys"], right["counts"]):
-            keys, counts = tables[kind]
-            counts[find(keys, _expand_keys(raw))] = _expand_counts(c)
-        fsa = Automaton(tables[0], tables[1], tokens, types, prior)
-        known, base, score, length = [], [], [], []
-        for _, here, before, n in _token_slices(sizes, row["texts"]):
-            at = np.cumsum(n) - n
-            count, logp = fsa.traverse(here, before)
-            known.append(np.add.reduceat((count > 0).astype(np.int64), at))
-            base.append(np.add.reduceat(np.log10(count + 1.0) - fsa.log_total, at))
-            score.append(np.add.reduceat(logp, at))
-            length.append(n)
+            table.put(kind, _expand_keys(raw), _expand_counts(c))
+        at = np.cumsum(text.lengths) - text.lengths
+        base = np.log10(table.word_counts + 1.0) - np.log10(float(tokens + types + 1))
+        weight = Automaton(table, tokens, types, prior).traverse(text.here, text.lengths)
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["ids"]], dtype="Int64"),
-                "held_out": held, "n_tokens": np.concatenate(length), "n_known": np.concatenate(known),
-                "train_tokens": tokens, "base_score": np.concatenate(base), "score": np.concatenate(score),
+                "held_out": held, "n_tokens": text.lengths,
+                "n_known": np.add.reduceat((table.word_counts > 0).astype(np.int64)[text.here], at),
+                "train_tokens": tokens, "base_score": np.add.reduceat(base[text.here], at), "score": np.add.reduceat(weight, at),
             }
         )
 
@@ -248,10 +299,12 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, prior: float
     scratch = Scratch(docs.sparkSession)
     rows = id_and_text(docs).withColumn("held", held_out("doc_id", folds, fold))
     blocks = scratch.table(rows.mapInArrow(_pack(block_bytes, block_rows), _BLOCK_SCHEMA), "lm-blocks")
-    bits = max(2, (2 * blocks.count()).bit_length())
+    # Key ranges of about a block's worth of keys each (16 bytes a distinct word or bigram).
+    bits = max(2, (blocks.count() // 2).bit_length())
     keys = blocks.mapInArrow(_list_keys(bits), _KEY_SCHEMA)
     back = scratch.table(keys.groupBy("kind", "part").applyInPandas(_total, _BACK_SCHEMA), "lm-totals")
     n = back.filter("block = -1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(n[0] or 0), int(n[1] or 0)
     totals = back.filter("block <> -1").select("block", "kind", "keys", "counts")
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(_score(prior, tokens, types), _OUT)
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(_score(prior, tokens, types), _OUT)
+    return scratch.result(scored, "lm-scores")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from depscape.llm import bottomk, byte_cnn, credential_links, fm_decontam, lm_automaton, orc_tokens, pii_crf, pivotal_mix, rp_forest, zstd_langid
@@ -196,6 +197,39 @@ def test_language_model_counts_beyond_32_bits():
     assert (lm_automaton._expand_counts(lm_automaton._squeeze_counts(c)) == c).all()
 
 
+def _tokens(texts):
+    return lm_automaton.Tokens([len(t) for t in texts], zstandard.ZstdCompressor().compress(b"".join(texts)))
+
+
+def test_lanes_carry_the_state_of_one_traversal():
+    rng = np.random.default_rng(3)
+    vocabulary = [b"w%d" % i for i in range(40)]
+    texts = [b" ".join(rng.choice(vocabulary, n).tolist()) for n in (0, 1, 7, 8, 9, 300, 65)]
+    text = _tokens(texts)
+    held = np.array([False, False, True, False, True, True, False])
+    table = lm_automaton.Counts(text, held)
+    n = int(table.word_counts.sum())
+    fsa = lm_automaton.Automaton(table, n, int((table.word_counts > 0).sum()), 300.0)
+    want, state, ends = [], lm_automaton._START, 0
+    for token in text.here.tolist():
+        weight, to = fsa.step(np.array([state]), np.array([token]))
+        want.append(weight[0])
+        state = lm_automaton._START if token == lm_automaton._END else int(to[0])
+        ends += token == lm_automaton._END
+    assert ends == len(texts)
+    for lane in (1, 2, 8, 1000):
+        assert np.allclose(fsa.traverse(text.here, text.lengths, lane), want, rtol=0, atol=1e-12)
+
+
+def test_words_of_long_texts_in_pieces(monkeypatch):
+    texts = [b"A b\tab  \n" * 50 + b"x" * 300 + b"\x0bend", b"", b" \r\x0c "]
+    whole = _tokens(texts)
+    monkeypatch.setattr(lm_automaton, "_PIECE", 7)
+    pieces = _tokens(texts)
+    assert (whole.here == pieces.here).all() and (whole.hashes == pieces.hashes).all()
+    assert whole.lengths.tolist() == pieces.lengths.tolist() == [153, 1, 1]
+
+
 def test_language_model_empty(no_docs):
     assert lm_automaton.score_documents(no_docs).count() == 0
 
