@@ -118,9 +118,9 @@ ranked as (select r.*, s.qualified, s.kind as symbol_kind, s.path, s.is_test, co
 """
 
 
-@query(_RANKED + "select query, rank::int as rank, id, depth, fan_in::bigint as fan_in from ranked where rank <= 100", "v_symbol", "v_link")
+@query(_RANKED + "select query, rank::int as rank, id, depth, fan_in::bigint as fan_in from ranked", "v_symbol", "v_link")
 def dependents_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf).filter("rank <= 100").select("query", "rank", "id", "depth", "fan_in")
+    return _ranked(spark, sf).select("query", "rank", "id", "depth", "fan_in")
 
 
 _BY_FILE = """select query, path, count(*)::bigint as count, count(*) filter (not is_test)::bigint as prod, count(*) filter (is_test)::bigint as test, min(depth) as min_depth,
@@ -222,7 +222,7 @@ def direct_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """+ f as (select dst as up, count(*) as n from v_link group by 1),
-u as (select distinct l.dst as caller, l.src as up from v_link l where kind in ('calls', 'inherits', 'references', 'tests') and l.dst like 's%' and l.src <> l.dst),
+u as (select distinct l.dst as caller, l.src as up from v_link l where kind in ('calls', 'inherits', 'references', 'tests') and l.src <> l.dst),
 r as (select caller, name, is_test, row_number() over (partition by caller order by is_test, coalesce(n, 0) desc, name, up) as k from (
   select u.*, s.is_test, s.qualified as name, f.n from u join v_symbol s on s.id = u.up left join f using (up)))
 select caller, string_agg(name, ';' order by k) filter (k <= 3) as called_by, count(*)::bigint as called_by_total, count(*) filter (not is_test)::bigint as called_by_prod_total from r group by 1""",
@@ -230,8 +230,7 @@ select caller, string_agg(name, ';' order by k) filter (k <= 3) as called_by, co
 )
 def called_by_top3(spark: SparkSession, sf: str) -> DataFrame:
     links, symbols = d.links(spark, sf), d.symbols(spark, sf)
-    sites = symbols.filter("id like 's%'").select(F.col("id").alias("caller"))
-    out = impact.called_by(sites, links, symbols)
+    out = impact.called_by(symbols.select(F.col("id").alias("caller")), links, symbols)
     return out.select("caller", F.array_join("called_by", ";").alias("called_by"), "called_by_total", "called_by_prod_total")
 
 
@@ -323,13 +322,13 @@ def resolve_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _RESOLVE.replace("e as (", "names as (select 'p' || p_partkey as id, p_name from part where p_partkey % 50 = 0), e as (")
+    _RESOLVE.replace("e as (", "names as (select 'p' || p_partkey as id, p_name from part), e as (")
     + """select n.id as query, count(*) filter (outcome = 'ambiguous')::bigint as ambiguous, count(*) filter (outcome = 'unresolved')::bigint as unresolved
 from names n left join (select p_name, outcome from res join e using (path, idx) where shape in (1, 2, 3)) using (p_name) group by 1""",
     "v_user",
 )
 def name_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    targets = d.symbols(spark, sf).filter("id like 'p%' and start_line % 50 = 0").select(F.col("id").alias("query"), "id", "name")
+    targets = d.symbols(spark, sf).filter("id like 'p%'").select(F.col("id").alias("query"), "id", "name")
     return impact.name_gaps(_resolved(spark, sf), raw_edges(spark, sf), targets)
 
 
@@ -369,11 +368,12 @@ def shape_groups(spark: SparkSession, sf: str) -> DataFrame:
 )
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = d.user_graph(spark, sf)
-    pairs = graph.nodes_of(e).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
-    return graph.shortest_path(e, pairs).filter("hops is not null")
+    nodes = graph.nodes_of(e)
+    pairs = nodes.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    return graph.shortest_path(e, pairs, max_hops=max(1, nodes.count())).filter("hops is not null")  # no path is longer than the nodes
 
 
-_PR_ROUNDS = 5
+_PR_ROUNDS = 20
 
 
 @query(
@@ -636,14 +636,14 @@ def paired_medians(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """+ v as (select p_type as task, avg(p_retailprice) as x, row_number() over (order by p_type) - 1 as k from part group by 1), n as (select count(*) as n from v),
-s as (select sample, slot, (('0x' || substr(md5('boot:' || sample || ':' || slot), 1, 8))::bigint % n) as k from range(500) a(sample), n, lateral (select unnest(range(n)) as slot)),
+s as (select sample, slot, (('0x' || substr(md5('boot:' || sample || ':' || slot), 1, 8))::bigint % n) as k from range(5000) a(sample), n, lateral (select unnest(range(n)) as slot)),
 q as (select sample, median(x) as s from s join v using (k) group by 1), r as (select s, row_number() over (order by s) - 1 as r, count(*) over () as m from q)
 select round(min(s) filter (r = floor(0.025 * m)), 6) as low, round(min(s) filter (r = floor(0.975 * m) - 1), 6) as high from r""",
     "v_user",
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     v = d.table(spark, sf, "part").groupBy(F.col("p_type").alias("task")).agg(F.avg("p_retailprice").alias("x"))
-    return analytics.bootstrap(v, "x", samples=500).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return analytics.bootstrap(v, "x").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(
@@ -744,30 +744,30 @@ def log_view(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.log_numbers(newest).select("seq", "n", "clock")
 
 
-@query("select id, case when id like 'o%' then regexp_extract(qualified, '[^.]+$') else qualified end as last_ from v_symbol where id like 'o%' or id like 'r%'", "v_symbol")
+@query("select id, regexp_extract(qualified, '[^.]+$') as last_ from v_symbol", "v_symbol")
 def name_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return d.symbols(spark, sf).filter("id like 'o%' or id like 'r%'").select("id", last_segment("qualified").alias("last_"))
+    return d.symbols(spark, sf).select("id", last_segment("qualified").alias("last_"))
 
 
 @query(
     """select a.id as a, b.id as b, case when split_part(a.path, '/', 1) <> split_part(b.path, '/', 1) then 0 when split_part(a.path, '/', 2) <> split_part(b.path, '/', 2) then 1
-when split_part(a.path, '/', 3) <> split_part(b.path, '/', 3) then 2 else 3 end::int as shared from v_symbol a join v_symbol b on a.start_line = b.start_line where a.id like 's%' and b.id like 'c%'""",
+when split_part(a.path, '/', 3) <> split_part(b.path, '/', 3) then 2 else 3 end::int as shared from v_symbol a join v_symbol b on a.start_line = b.start_line and a.id < b.id""",
     "v_symbol",
 )
 def path_affinity(spark: SparkSession, sf: str) -> DataFrame:
     s = d.symbols(spark, sf)
-    a = s.filter("id like 's%'").select(F.col("id").alias("a"), F.col("path").alias("pa"), "start_line")
-    b = s.filter("id like 'c%'").select(F.col("id").alias("b"), F.col("path").alias("pb"), "start_line")
-    return a.join(b, "start_line").select("a", "b", shared_dirs("pa", "pb").alias("shared"))
+    a = s.select(F.col("id").alias("a"), F.col("path").alias("pa"), "start_line")
+    b = s.select(F.col("id").alias("b"), F.col("path").alias("pb"), "start_line")
+    return a.join(b, "start_line").filter("a < b").select("a", "b", shared_dirs("pa", "pb").alias("shared"))
 
 
 @query(
     """select id, ceil(strlen('{"id":"' || id || '","qualified":"' || qualified || '","path":"' || path || '","start_line":' || start_line || ',"signature":null}') / 4)::bigint as tokens
-from v_symbol where id like 's%'""",
+from v_symbol""",
     "v_symbol",
 )
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    s = d.symbols(spark, sf).filter("id like 's%'")
+    s = d.symbols(spark, sf)
     record = F.struct("id", "qualified", "path", "start_line", F.lit(None).cast("string").alias("signature"))
     return s.select("id", estimate_tokens(record).alias("tokens"))
 
@@ -815,75 +815,6 @@ def directory_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return d.document_files(spark, sf).groupBy(dirname("path").alias("dir")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("select id, qualified as local_ from v_symbol where id like 'n%'", "v_symbol")
+@query("select id, qualified as local_ from v_symbol", "v_symbol")
 def local_names(spark: SparkSession, sf: str) -> DataFrame:
-    return d.symbols(spark, sf).filter("id like 'n%'").select("id", local_name("qualified", F.lit("other.py")).alias("local_"))
-
-
-# The graph algorithms on the users of all events.  The SQL of those above is fixed to every 31st event; a transitive
-# closure of all is too large for SQL, so these have none.
-
-
-@query(None)
-def shortest_paths_whole(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.user_graph(spark, sf, whole=True)
-    nodes = graph.nodes_of(e)
-    pairs = nodes.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
-    return graph.shortest_path(e, pairs, max_hops=max(1, nodes.count())).filter("hops is not null")  # no path is longer than the nodes
-
-
-@query(None)
-def pagerank_rounds_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(d.user_graph(spark, sf, whole=True), rounds=_PR_ROUNDS).select("id", F.round("rank", 9).alias("rank"))
-
-
-@query(None)
-def strong_components_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.strong_components(d.user_graph(spark, sf, whole=True))
-
-
-@query(None)
-def component_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.component_stats(graph.strong_components(d.user_graph(spark, sf, whole=True)))
-
-
-@query(None)
-def weak_components_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.weak_components(d.user_graph(spark, sf, whole=True))
-
-
-@query(None)
-def communities_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.communities(d.user_graph(spark, sf, whole=True))
-
-
-# Queries above whose fixed SQL takes a subset of the symbols, over the whole symbol view.
-
-
-@query(ORACLE["name_gaps"].replace(" where p_partkey % 50 = 0", ""))
-def name_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
-    targets = d.symbols(spark, sf).filter("id like 'p%'").select(F.col("id").alias("query"), "id", "name")
-    return impact.name_gaps(_resolved(spark, sf), raw_edges(spark, sf), targets)
-
-
-@query(ORACLE["local_names"].replace(" where id like 'n%'", ""))
-def local_names_whole(spark: SparkSession, sf: str) -> DataFrame:
     return d.symbols(spark, sf).select("id", local_name("qualified", F.lit("other.py")).alias("local_"))
-
-
-@query(ORACLE["token_estimates"].replace(" where id like 's%'", ""))
-def token_estimates_whole(spark: SparkSession, sf: str) -> DataFrame:
-    record = F.struct("id", "qualified", "path", "start_line", F.lit(None).cast("string").alias("signature"))
-    return d.symbols(spark, sf).select("id", estimate_tokens(record).alias("tokens"))
-
-
-@query("select id, regexp_extract(qualified, '[^.]+$') as last_ from v_symbol", "v_symbol")
-def name_segments_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return d.symbols(spark, sf).select("id", last_segment("qualified").alias("last_"))
-
-
-@query(ORACLE["called_by_top3"].replace(" and l.dst like 's%'", ""))
-def called_by_top3_whole(spark: SparkSession, sf: str) -> DataFrame:
-    links, symbols = d.links(spark, sf), d.symbols(spark, sf)
-    out = impact.called_by(symbols.select(F.col("id").alias("caller")), links, symbols)
-    return out.select("caller", F.array_join("called_by", ";").alias("called_by"), "called_by_total", "called_by_prod_total")

@@ -87,11 +87,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def user_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """src, dst: a graph of users with cycles, from every 31st event (as ``v_user``), or from all with ``whole``."""
+def user_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: a graph of users with cycles, one edge a distinct event (as ``v_user``)."""
     e = table(spark, sf_dir, "events")
     top = e.select((F.max("user_id") + 1).alias("n"))
-    e = e.filter("event_id is not null and user_id is not null" if whole else "event_id % 31 = 0")
+    e = e.filter("event_id is not null and user_id is not null")
     return e.crossJoin(F.broadcast(top)).select(F.col("user_id").alias("src"), (F.col("event_id") % F.col("n")).alias("dst")).distinct()  # top: one row
 
 
@@ -155,7 +155,7 @@ SQL = {
   union all select 's' || s_suppkey, 'n' || s_nationkey, 'inherits', 'extracted', 0 from supplier
   union all select 'n' || n_nationkey, 'r' || n_regionkey, 'contains', 'extracted', 0 from nation""",
     "v_user": """
-  select distinct user_id as src, event_id % (select max(user_id) + 1 from events) as dst from events where event_id % 31 = 0""",
+  select distinct user_id as src, event_id % (select max(user_id) + 1 from events) as dst from events where event_id is not null and user_id is not null""",
     "v_file": """
   select coalesce(source, 'none') || '/' || doc_id || '.txt' as path, text, doc_id from documents""",
     "v_line": """

@@ -4,7 +4,7 @@ import pytest
 
 from depscape.queries import ORACLE, QUERIES
 
-EVENTS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (0, 1), (6, 7), (8, 8), (9, 6), (0, 31)]  # user, event_id: few are multiples of 31
+EVENTS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (0, 1), (6, 7), (8, 8), (9, 6), (0, 31)]  # user, event_id
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def test_graph_algorithms_see_every_event(spark, events_dir):
             for v in sorted(v for s, v in edges if s == u and v not in reach[a]):
                 reach[a][v] = reach[a][u] + 1
                 front.append(v)
-    run = lambda name: [tuple(r) for r in QUERIES[f"{name}_whole"](spark, events_dir).collect()]
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, events_dir).collect()]
     assert sorted(run("shortest_paths")) == sorted((0, b, h) for b, h in reach[0].items())
     strong = {a: min(b for b in reach[a] if a in reach[b]) for a in nodes}
     assert dict(run("strong_components")) == strong
@@ -36,7 +36,7 @@ def test_graph_algorithms_see_every_event(spark, events_dir):
             weak[a] = weak[b] = min(weak[a], weak[b])
     assert dict(run("weak_components")) == weak
     rank = {a: 1 / len(nodes) for a in nodes}
-    for _ in range(5):
+    for _ in range(20):
         rank = {b: 0.15 / len(nodes) + 0.85 * sum(rank[u] / sum(x == u for x, _ in edges) for u, v in edges if v == b) for b in nodes}
     assert dict(run("pagerank_rounds")) == pytest.approx(rank, abs=1e-8)
     groups = dict(run("communities"))
@@ -58,10 +58,18 @@ def against_sql(spark, name):
 
 
 def test_name_gaps_of_every_part(spark):
-    assert len(against_sql(spark, "name_gaps_whole")) == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert len(against_sql(spark, "name_gaps")) == spark.read.parquet(f"{SF}/part.parquet").count()
 
 
 @pytest.mark.parametrize("name", ["local_names", "token_estimates", "name_segments", "called_by_top3"])
 def test_queries_over_every_symbol(spark, name):
-    got = against_sql(spark, f"{name}_whole")
+    got = against_sql(spark, name)
     assert {r[0][0] for r in got} >= ({"c", "p", "s", "n"} if name == "called_by_top3" else set("rncspo"))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["shortest_paths", "pagerank_rounds", "strong_components", "component_stats", "weak_components", "path_affinity", "bootstrap_ci", "dependents_ranked"],
+)
+def test_whole_tables_against_sql(spark, name):
+    assert against_sql(spark, name)
