@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,5 +52,23 @@ class Steps:
                 delete(self.spark, path)
 
 
+def dense_number(steps: Steps, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds 0, 1, ... in the order of columns: numbers within range partitions plus the sizes of those before.
+
+    The partitions are written before they are counted, and the numbers before they are used, as neither the ranges
+    nor the order of equal rows need be the same when evaluated again."""
+    parts = steps.keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    base = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
+    w = Window.partitionBy("_part").orderBy(*order)
+    out = steps.keep(parts.withColumn(name, (base + F.row_number().over(w) - 1).cast("long")).drop("_part"))
+    steps.release(parts)
+    return out
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()

@@ -114,15 +114,19 @@ def secrets_skipped(spec: SearchSpec, files: DataFrame) -> DataFrame:
     return files.filter(~noise & has_secret_part(F.col("path"))).agg(F.count("*").alias("n"))
 
 
-def search(files: DataFrame, spec: SearchSpec, limit: int = MATCH_LIMIT) -> DataFrame:
-    """path, line, col (byte of the first match, from 0), text, seq: matching lines in order of path and line.
+def matches(files: DataFrame, spec: SearchSpec) -> DataFrame:
+    """path, line, col (byte of the first match, from 0), text: every matching line, in no order.
 
-    ``files``: (path, text).  ``limit`` is the feature's early stop."""
+    ``files``: (path, text)."""
     lines = text_lines(files.filter(accepted(spec, F.col("path"))).select("path", "text"))
     hits = lines.filter(F.col("text").rlike(spec.regex()))
     at = F.regexp_instr("text", F.lit(spec.regex()))
-    hits = hits.withColumn("col", F.octet_length(F.substr("text", F.lit(1), at - 1)))
-    hits = hits.orderBy("path", "line").limit(limit)
+    return hits.select("path", "line", F.octet_length(F.substr("text", F.lit(1), at - 1)).alias("col"), "text")
+
+
+def search(files: DataFrame, spec: SearchSpec, limit: int = MATCH_LIMIT) -> DataFrame:
+    """The first ``limit`` matches (the feature's early stop) in order of path and line, with seq from 0."""
+    hits = matches(files, spec).orderBy("path", "line").limit(limit)
     return hits.withColumn("seq", F.row_number().over(Window.orderBy("path", "line")) - 1).select("seq", "path", "line", "col", "text")
 
 

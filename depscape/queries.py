@@ -439,7 +439,7 @@ _SPEC = search.SearchSpec([_WORD], unicode=False)
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(d.document_files(spark, sf), _SPEC, limit=1 << 30)
+    return search.matches(d.document_files(spark, sf), _SPEC)
 
 
 _HIT = f"+ hit as (select path, line, text from v_line where regexp_matches(text, '{_WORD}')) "

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import basename
+from ..operators.iterate import Steps, dense_number
 
 # Directories never indexed, and never searched.
 EXCLUDED_DIRS = (
@@ -190,9 +191,7 @@ def edge_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Symbols and edges of a graph export (symbols.jsonl, edges.jsonl), renumbered so that a file's symbols
     are contiguous; double (src, dst, kind) are dropped."""
     s = spark.read.json(f"{folder}/symbols.jsonl")
-    from .driver_tables import dense_number
-
-    s = dense_number(s, ["file", "i"], "new")
+    s = dense_number(Steps(spark, "export"), s, ["file", "i"], "new")
     ids = s.select("i", "new")
     e = spark.read.json(f"{folder}/edges.jsonl").dropDuplicates(["src", "dst", "kind"])
     e = e.join(ids.toDF("src", "ns"), "src").join(ids.toDF("dst", "nd"), "dst")

@@ -84,3 +84,31 @@ def test_answer_keys(spark):
     text = "# lib/a.py:9\nlib/a.py:3,1,2: def f\nlib/b.py:7: x\nlib/b.py:7: again\nno key here\nlib/c.py:12    a:1\nlib/d.py:x,4\n"
     assert column(spark, [text], analytics.answer_keys) == [["lib/a.py:1", "lib/a.py:2", "lib/a.py:3", "lib/b.py:7", "lib/c.py:12", "lib/d.py:4"]]
     assert column(spark, ["4,5: x\n6: y\n# 7: z"], lambda c: analytics.answer_keys(c, F.lit("m.py"))) == [["m.py:4", "m.py:5", "m.py:6"]]
+
+
+def test_export_is_numbered_by_file(spark, tmp_path):
+    import json
+
+    symbols = [{"i": i, "file": f"f{i % 3}.py", "name": f"s{i}"} for i in range(20)]
+    edges = [{"src": i, "dst": (i * 7) % 20, "kind": "calls", "prov": "inferred"} for i in range(20)] * 2
+    for name, rows in (("symbols", symbols), ("edges", edges)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    s, e = tree.edge_files(spark, f"file://{tmp_path}")
+    want = {r["name"]: n for n, r in enumerate(sorted(symbols, key=lambda r: (r["file"], r["i"])))}
+    assert {r.name: r.i for r in s.collect()} == want
+    assert sorted((r.src, r.dst) for r in e.collect()) == sorted((want[f"s{i}"], want[f"s{i * 7 % 20}"]) for i in range(20))
+
+
+def test_overlaps_by_command(spark):
+    rows = [
+        ("a1", "x", "s", 0, 1, "k", 5),
+        ("a2", "x", "s", 10, 2, "k", 5),  # same command before
+        ("a3", "y", "s", 20, 3, "k", 5),  # another command before
+        ("a4", "z", "s", 20_000, 4, "k", 5),  # too late
+        ("a5", "y", "t", 25, 5, "k", 5),  # another session
+        ("a6", None, "s", 20_001, 6, "k", 5),  # of no command
+        ("a7", "w", "s", 20_002, 7, "k", 5),
+    ]
+    keys = spark.createDataFrame(rows, "answer string, command string, session string, ts long, seq long, key string, bytes long")
+    got = {r.answer: (r.intra, r.cross) for r in analytics.overlaps(keys).collect()}
+    assert got == {"a1": (False, False), "a2": (True, False), "a3": (False, True), "a4": (False, False), "a5": (False, False), "a6": (False, False), "a7": (False, True)}
