@@ -118,3 +118,47 @@ def nearest_rank(df: DataFrame, value: str, groups: list[str], shares: tuple[flo
     return upto.groupBy(*keys).agg(
         F.first("_all").alias("n"), *aggs, F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_n")) / F.first("_all")).alias("mean")
     )
+
+
+def short_label(qualified: Column | str, kind: Column | str) -> Column:
+    """``Class.method`` for a method, the last name otherwise."""
+    parts = F.split(_c(qualified), r"\.")
+    two = F.array_join(F.slice(parts, -2, 2), ".")
+    return F.when((_c(kind) == "method") & (F.size(parts) > 1), two).otherwise(F.element_at(parts, -1))
+
+
+def suffixed(df: DataFrame, base: str, name: str, *order: Column) -> DataFrame:
+    """Adds ``name``: the base id, with ``~2``, ``~3``, ... from the second row of an id on, in the order given."""
+    k = F.row_number().over(Window.partitionBy(base).orderBy(*order))
+    return df.withColumn(name, F.when(k == 1, F.col(base)).otherwise(F.concat(base, F.lit("~"), k.cast("string"))))
+
+
+def to_hex(value: Column | str) -> Column:
+    """Lower-case hex of a string's or binary's bytes."""
+    return F.lower(F.hex(_c(value)))
+
+
+def from_hex(value: Column | str) -> Column:
+    return F.unhex(_c(value))
+
+
+def tests_run_line(ids: Column | str) -> Column:
+    """A ``pytest`` line for an array of test ids: what stands before the files' common folder once, the rest in braces."""
+    i = _c(ids)
+    folder = common_dir(F.transform(i, lambda x: F.substring_index(x, "::", 1)))
+    head = F.concat(folder, F.lit("/"))
+    rest = F.transform(i, lambda x: F.substr(x, F.length(head) + 1))
+    short = F.concat(F.lit("pytest "), head, F.lit("{"), F.array_join(rest, ","), F.lit("}"))
+    return F.when((F.size(i) < 2) | (folder == ""), F.concat(F.lit("pytest "), F.array_join(i, " "))).otherwise(short)
+
+
+def nearest_folder(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """path, folder: the deepest of ``folders`` (folder) above each missing path, null if only the root is.
+
+    A path has as many candidates as it has parts, so the join is on equality."""
+    p = paths.select("path").distinct()
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    near = p.filter(F.size(parts) > 1).select("path", F.explode(up).alias("folder")).join(folders.select("folder").distinct(), "folder", "left_semi")
+    best = near.filter("folder not in ('', '.')").groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+    return p.join(best, "path", "left")
