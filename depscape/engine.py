@@ -52,7 +52,8 @@ class Repository:
     def graph(self, stale: bool = False) -> answer.Graph:
         rev = self.store.rev()
         t = lambda n: self.store.read(n, rev)
-        return answer.Graph(t("symbol"), self.store.links(rev), t("resolution"), t("raw_edge"), rev, stale, self.store.parse_failures())
+        read = lambda paths: tree.contents(self.spark, self.root, F.col("path").isin(*paths))
+        return answer.Graph(t("symbol"), self.store.links(rev), t("resolution"), t("raw_edge"), rev, stale, self.store.parse_failures(), read=read)
 
     # --- questions ---
 

@@ -32,7 +32,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_hops: int = 30) -> Dat
         front = steps.keep(step.join(seen, ["src", "at"], "left_anti").withColumn("hops", F.lit(hops)))
         if is_empty(front):
             break
-        seen = steps.keep(seen.unionByName(front))
+        seen = steps.union(seen, front)
         open_ = steps.keep(open_.join(front.select("src", F.col("at").alias("dst")), ["src", "dst"], "left_anti"))
     return pairs.join(seen.select("src", F.col("at").alias("dst"), "hops"), ["src", "dst"], "left").select("src", "dst", "hops")
 
@@ -118,7 +118,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
             front = steps.keep(back.join(found, "id", "left_anti"))
             if is_empty(front):
                 break
-            found = steps.keep(found.unionByName(front))
+            found = steps.union(found, front)
         done.append(found.select("id", F.col("c").alias("comp")))
         live = steps.keep(live.join(found, "id", "left_anti"))
         alive = live.select(F.col("id").alias("src"))

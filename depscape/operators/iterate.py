@@ -34,7 +34,7 @@ class Steps:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count = self.unions = 0
         self.live: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -45,6 +45,13 @@ class Steps:
         self.live[id(out)] = path
         return out
 
+    def union(self, table: DataFrame, more: DataFrame) -> DataFrame:
+        """A kept table and the rows of another: earlier rows aren't written again, except all as one table every
+        eighth time, so that plans stay short."""
+        self.unions += 1
+        both = table.unionByName(more)
+        return both if self.unions % 8 else self.keep(both)
+
     def release(self, *tables: DataFrame | None) -> None:
         for t in tables:
             path = self.live.pop(id(t), None) if t is not None else None

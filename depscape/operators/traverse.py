@@ -34,7 +34,7 @@ def blast_radius(links: DataFrame, targets: DataFrame, max_depth: int | None = 3
         front = steps.keep(reached.join(seen, ["target", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if is_empty(front):
             break
-        seen = steps.keep(seen.unionByName(front))
+        seen = steps.union(seen, front)
     return seen.filter("depth > 0")
 
 
@@ -77,7 +77,7 @@ def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tu
         front = steps.keep(best.select("query", "id", F.lit(depth).alias("depth"), "w.via", "w.kind", "w.edge_conf", "w.path_conf").select(*columns))
         if is_empty(front):
             break
-        seen = steps.keep(seen.unionByName(front))
+        seen = steps.union(seen, front)
     last = front.select("query", F.col("id").alias("dst"))
     more = last.join(edges.select("dst", "src"), "dst").join(seen.select("query", F.col("id").alias("src")), ["query", "src"], "left_anti")
     more = more.select("query", "dst").distinct().groupBy("query").agg(F.count("*").alias("beyond"))

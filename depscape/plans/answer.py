@@ -7,6 +7,7 @@ options) and discloses everything it leaves out.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from ..functions.expr import local_name, node_id
 from ..model import CONFIDENCES, DEPENDENCY_KINDS
 from ..operators import impact, traverse
 from ..operators.diff import diff_impact
+from ..operators.freshness import source_states
 from ..operators.lookup import lookup
 
 TIERS = ("full", "summary", "by_file", "by_directory")
@@ -29,6 +31,7 @@ class Options:
     items: int = 2000
     max_callers: int = impact.MAX_CALLERS
     kinds: tuple[str, ...] = DEPENDENCY_KINDS
+    source_items: int = 12
     compact: bool = False
 
 
@@ -44,6 +47,7 @@ class Graph:
     stale: bool = False
     parse_failures: int = 0
     locals_: DataFrame | None = field(default=None, repr=False)
+    read: Callable[[list[str]], DataFrame] | None = field(default=None, repr=False)  # path, content of files as they are now
 
 
 def disclosure(what: str, shown: int, omitted: int, reason: str) -> dict:
@@ -63,8 +67,17 @@ def envelope(graph: Graph, query: str, result: dict, causes: dict, cuts: list[di
     }
 
 
-def _causes(graph: Graph, ambiguous: int, unresolved: int, scope: str) -> dict:
-    return {"ambiguous_refs": ambiguous, "unresolved_refs": unresolved, "parse_failures": graph.parse_failures, "source_changed": 0, "ref_scope": scope}
+def _causes(graph: Graph, ambiguous: int, unresolved: int, scope: str, changed: int = 0) -> dict:
+    return {"ambiguous_refs": ambiguous, "unresolved_refs": unresolved, "parse_failures": graph.parse_failures, "source_changed": changed, "ref_scope": scope}
+
+
+def _changed(graph: Graph, ids: list[str]) -> int:
+    """How many of a bounded list of symbols no longer stand in their files as indexed."""
+    if graph.read is None or not ids:
+        return 0
+    s = graph.symbols.filter(F.col("id").isin(*ids))
+    paths = sorted({r["path"] for r in s.select("path").distinct().collect()})
+    return source_states(s, graph.read(paths)).filter("state <> 'fresh'").count()
 
 
 def _view(r) -> dict:
@@ -203,7 +216,9 @@ def blast_document(graph: Graph, ref: str, opts: Options | None = None) -> dict:
         "call_sites": sites.get("q", []), "indirect": _indirect(ranked), "tests": _tests(graph, root.select(F.col("id").alias("target")), max(opts.depth, 3)),
         "overrides": _overrides(graph, root.select("id")).get(sym["id"], []),
     }
-    return finish(envelope(graph, "blast_radius", result, _causes(graph, gaps["ambiguous"], gaps["unresolved"], "target"), cuts), opts)
+    listed = [sym["id"]] + [i["symbol"]["id"] for i in dependents["items"] if i["symbol"]["kind"] != "module"][: opts.source_items]
+    changed = _changed(graph, list(dict.fromkeys(listed)))
+    return finish(envelope(graph, "blast_radius", result, _causes(graph, gaps["ambiguous"], gaps["unresolved"], "target", changed), cuts), opts)
 
 
 def _risk(spark, counts: dict, gaps: int) -> dict:
@@ -247,7 +262,7 @@ def diff_document(graph: Graph, hunks: DataFrame, opts: Options | None = None) -
         "tests_basis": "changed tests and tests among the dependents", "indirect": _indirect(t["dependents"]),
         "tests": _tests(graph, own.select(F.col("id").alias("target")), max(opts.depth, 3)),
     }
-    return finish(envelope(graph, "diff_impact", result, _causes(graph, g["a"] or 0, g["u"] or 0, "changed_symbols"), cuts), opts)
+    return finish(envelope(graph, "diff_impact", result, _causes(graph, g["a"] or 0, g["u"] or 0, "changed_symbols", _changed(graph, ids[: opts.items])), cuts), opts)
 
 
 # --- budget ---
