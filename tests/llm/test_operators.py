@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -371,6 +372,46 @@ def test_token_queries_take_library_defaults(spark, tmp_path):
         assert sorted(tuple(r) for r in out.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
 
 
+class _Counted:
+    """A tokenizer model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.model.tokenize(text)
+
+
+def test_new_words_share_calls_of_the_model():
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeéßž") for _ in range(9)) + r.choice(["", "", ",", ".\nLa"]) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 3000, 100)]
+    encoder = orc_tokens.PieceIds(tokenizer_path(), False)
+    encoder.model = counted = _Counted(encoder.model)
+    t = Tokenizer.from_file(tokenizer_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert counted.calls < 200  # one for each distinct pre-token would be over 2,000
+
+
+@pytest.mark.parametrize("call", [None, 1])
+def test_token_ids_of_odd_texts_with_any_memo(call):
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    parts = [" ", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "a", "Bé", "ª", "µ", "×", "ǆ", "'s", "'", "12", "²", "…", "東京", "\U0001f600", "e\u0301", "-", "<|endoftext|>", "the", "of"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(1500)] + [None, "", " ", "\u00a0 \u00a0 \u00a0 a"]
+    t = Tokenizer.from_file(tokenizer_path())
+    encoder = orc_tokens.PieceIds(tokenizer_path(), False, most=50)
+    assert encoder.call > 1
+    encoder.call = call or encoder.call
+    for i in range(0, len(texts), 37):
+        part = texts[i : i + 37]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [t.encode(x or "", add_special_tokens=False).ids for x in part]
+
+
 def test_token_output_empty(no_docs):
     assert orc_tokens.token_output(no_docs, tokenizer_path()).count() == 0
 
