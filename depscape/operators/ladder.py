@@ -27,15 +27,22 @@ def units(paths: DataFrame) -> DataFrame:
 def ladder(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     """ref, outcome, dst, candidates, scope for each reference (ref, name, path, unit).
 
-    ``definitions``: id, name, path, unit.  Each name is joined once; scopes are read off the join."""
+    ``definitions``: id, name, path, unit.  Definitions are counted by name and scope first, so a reference meets one row
+    a scope, however many share its name; references alike in name, path and unit are decided once."""
     r = refs.select("ref", "name", F.col("path").alias("rp"), F.col("unit").alias("ru"))
-    hit = r.join(definitions.select("name", F.col("id").alias("d"), F.col("path").alias("dp"), F.col("unit").alias("du")), "name", "left")
-    scope = (
-        F.when(F.col("dp") == F.col("rp"), 0).when(dirname("dp") == dirname("rp"), 1).when((F.col("du") == F.col("ru")) & (F.col("ru") != ""), 2).otherwise(3)
-    )
-    hit = hit.withColumn("s", F.when(F.col("d").isNotNull(), scope))
-    per = hit.groupBy("ref", "s").agg(F.count_distinct("d").alias("n"), F.min("d").alias("d"))
-    best = per.groupBy("ref").agg(F.min(F.when(F.col("s").isNotNull(), F.struct("s", "n", "d"))).alias("b"))
+    alike = ["name", "rp", "ru"]
+    own = r.select(*alike).distinct()
+    levels = (F.col("rp"), dirname("rp"), F.when(F.col("ru") != "", F.col("ru")), F.lit(""))
+    at = own.select(*alike, F.posexplode(F.array(*levels)).alias("s", "at"))
+    places = (F.col("path"), dirname("path"), F.when(F.col("unit") != "", F.col("unit")), F.lit(""))
+    d = definitions.filter("id is not null").select("name", "id", F.posexplode(F.array(*places)).alias("s", "at")).filter("at is not null")
+    found = d.groupBy("name", "s", "at").agg(F.count_distinct("id").alias("n"), F.min("id").alias("d"))
+    hit = at.join(found, ["name", "s", "at"]).groupBy(*alike).agg(F.min(F.struct("s", "n", "d")).alias("b"))
+    hit = hit.select("b", *[F.col(c).alias(f"_{c}") for c in alike])
+    same = F.lit(True)
+    for c in alike:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    best = r.join(hit, same, "left").groupBy("ref").agg(F.min("b").alias("b"))
     names = F.array(*[F.lit(x) for x in SCOPES])
     return best.select(
         "ref", F.when(F.col("b").isNull(), F.lit("unresolved")).when(F.col("b.n") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("outcome"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from depscape.operators import iterate, reach
+from depscape.operators import iterate, ladder, reach
 
 
 @pytest.fixture
@@ -19,6 +19,19 @@ def kept_rows(monkeypatch):
     return rows
 
 
+def shuffled(spark, run):
+    """The result of a call and the rows that its stages wrote to shuffles."""
+
+    def stages():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        all_ = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(all_.apply(i).shuffleWriteRecords() for i in range(all_.size()))
+
+    before = stages()
+    return run(), stages() - before
+
+
 def test_reach_keeps_no_pairs(spark, kept_rows):
     n = 60
     edges = [(f"s{i}", "hub") for i in range(n)] + [("hub", f"t{i}") for i in range(n)]
@@ -27,3 +40,12 @@ def test_reach_keeps_no_pairs(spark, kept_rows):
     got = {tuple(r) for r in reach.reach_counts(links, targets, (1,)).collect()}
     assert got == {("hub", n, n)} | {(f"t{i}", 1, n + 1) for i in range(n)}
     assert max(kept_rows) <= 3 * n
+
+
+def test_ladder_meets_one_row_a_scope(spark):
+    n = 100
+    refs = spark.createDataFrame([(f"r{i}", "f", "u/d/a.py", "u") for i in range(n)] + [("x", "f", "v/w/b.py", ""), ("y", None, None, None)], "ref string, name string, path string, unit string")
+    defs = spark.createDataFrame([(f"d{i}", "f", f"u/e/{i}.py", "u") for i in range(n)] + [("near", "f", "v/w/c.py", "u")], "id string, name string, path string, unit string")
+    got, rows = shuffled(spark, lambda: {r["ref"]: tuple(r)[1:] for r in ladder.ladder(refs, defs).collect()})
+    assert got == {f"r{i}": ("ambiguous", None, n + 1, "unit") for i in range(n)} | {"x": ("resolved", "near", 1, "dir"), "y": ("unresolved", None, 0, None)}
+    assert rows < 20 * n
