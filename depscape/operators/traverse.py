@@ -39,14 +39,16 @@ def blast_radius(links: DataFrame, targets: DataFrame, max_depth: int | None = 3
 
 
 def blast_radius_sql(spark: SparkSession, links: DataFrame, targets: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] | None = DEPENDENCY_KINDS) -> DataFrame:
-    """The same as one recursive query.  It can't drop what it has seen while it runs, so it suits small depths."""
+    """The same as one query, a common table expression a level.  A recursive one may only append (UNION ALL): its rows are
+    the walks, which outnumber the nodes and which Spark limits; here each level holds a node once a target."""
     edges = of_kinds(links, kinds).select("src", "dst").distinct()
-    return spark.sql(f"""
-        WITH RECURSIVE r(target, id, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT target, target, 0 FROM {{targets}}
-          UNION ALL
-          SELECT r.target, e.src, r.depth + 1 FROM r JOIN {{edges}} e ON e.dst = r.id WHERE r.depth < {max_depth})
-        SELECT target, id, min(depth) AS depth FROM r GROUP BY target, id HAVING id <> target""", edges=edges, targets=targets.select("target").distinct())
+    levels = ["l0 AS (SELECT target, target AS id FROM {targets})"]
+    for n in range(1, max_depth + 1):
+        levels.append(f"l{n} AS (SELECT DISTINCT l.target, e.src AS id FROM l{n - 1} l JOIN {{edges}} e ON e.dst = l.id)")
+    every = " UNION ALL ".join(f"SELECT target, id, {n} AS depth FROM l{n}" for n in range(max_depth + 1))
+    return spark.sql(
+        f"WITH {', '.join(levels)} SELECT target, id, min(depth) AS depth FROM ({every}) GROUP BY target, id HAVING id <> target", edges=edges, targets=targets.select("target").distinct()
+    )
 
 
 def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] = DEPENDENCY_KINDS) -> tuple[DataFrame, DataFrame]:

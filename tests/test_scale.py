@@ -2,7 +2,7 @@
 
 import pytest
 
-from depscape.operators import iterate, ladder, reach
+from depscape.operators import iterate, ladder, reach, traverse
 
 
 @pytest.fixture
@@ -49,3 +49,15 @@ def test_ladder_meets_one_row_a_scope(spark):
     got, rows = shuffled(spark, lambda: {r["ref"]: tuple(r)[1:] for r in ladder.ladder(refs, defs).collect()})
     assert got == {f"r{i}": ("ambiguous", None, n + 1, "unit") for i in range(n)} | {"x": ("resolved", "near", 1, "dir"), "y": ("unresolved", None, 0, None)}
     assert rows < 20 * n
+
+
+def test_one_query_traversal_of_many_walks(spark):
+    n = 101  # n ** 3 walks of three steps
+    edges = [(f"n{k + 1}.{i}", f"n{k}.{j}") for k in range(3) for i in range(n) for j in range(n) if k or not j]
+    links = spark.createDataFrame([(s, d, "calls", "extracted") for s, d in edges], "src string, dst string, kind string, prov string")
+    targets = spark.createDataFrame([("n0.0",)], "target string")
+    got = traverse.blast_radius_sql(spark, links, targets).groupBy("target", "depth").count().collect()
+    assert {tuple(r) for r in got} == {("n0.0", k, n) for k in (1, 2, 3)}
+    more = [(f"m{i}", f"n3.{j}") for i in range(n) for j in range(n)]
+    links = links.unionByName(spark.createDataFrame([(s, d, "calls", "extracted") for s, d in more], "src string, dst string, kind string, prov string"))
+    assert traverse.blast_radius_sql(spark, links, targets, 4).filter("depth = 4").count() == n
