@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import import_head, shared_dirs
+from ..functions.expr import import_head
 from ..model import DYNAMIC, EXTERNAL, MODULE, SELF_RECEIVERS, SEPARATORS, SYMBOL_KINDS, WILDCARD
 from .iterate import Steps, is_empty
 
@@ -64,36 +64,47 @@ def qualified_suffixes(symbols: DataFrame) -> DataFrame:
 
 
 _KEY = ("path", "idx")
+_IMPORT = ("key_name", "lang", "ekind", "import_path", "module")
+# What decides an edge, apart from its path; x: the source, where the receiver is the object itself.
+_SHAPE = ("lang", "kind", "dst_id", "name", "key_name", "qualifier", "import_path", "x")
 
 
-def _candidates(df: DataFrame, tier: str, d="d", dpath="dpath", depth=0, n=1) -> DataFrame:
-    pick = lambda x, kind: (F.col(x) if isinstance(x, str) else F.lit(x)).cast(kind)
-    return df.select(
-        *_KEY, F.lit(tier).alias("tier"), pick(d, "string").alias("d"), pick(dpath, "string").alias("dpath"),
-        pick(depth, "int").alias("depth"), pick(n, "int").alias("n"),
-    )
+def import_keys(open_: DataFrame) -> DataFrame:
+    """Edges with an import path in the repository, and what their candidates depend on."""
+    e = open_.filter(F.col("import_path").isNotNull() & ~F.startswith("import_path", F.lit(EXTERNAL)))
+    free = F.coalesce(~F.col("name").isin(MODULE, WILDCARD), F.lit(False))
+    return e.withColumns({"ekind": F.col("kind"), "module": ~free})
 
 
-def import_candidates(open_: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Edges whose import path is a symbol's qualified name or ends it at a separator."""
-    e = open_.filter(F.col("import_path").isNotNull() & ~F.startswith("import_path", F.lit(EXTERNAL)))
-    keys = e.select("key_name", "lang", F.col("kind").alias("ekind"), "import_path").distinct()
-    hit = keys.join(
-        suffixes, (keys["lang"] == suffixes["lang"]) & (keys["import_path"] == suffixes["suffix"]) & (keys["key_name"] == suffixes["dname"])
-    ).filter(compatible(F.col("ekind"), F.col("dkind")))
-    hit = hit.select("key_name", keys["lang"], "ekind", "import_path", "d", "dpath", "dkind")
-    on = (
-        (e["key_name"] == hit["key_name"]) & (e["lang"] == hit["lang"]) & (e["kind"] == hit["ekind"]) & (e["import_path"] == hit["import_path"])
-    )
-    out = e.join(hit, on).filter(~F.col("name").isin(MODULE, WILDCARD) | (F.col("dkind") == "module"))
-    return out.select(*[e[c] for c in _KEY], "d", "dpath")
+def import_hits(keys: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Symbols whose qualified name is a key's import path or ends with it at a separator."""
+    on = (keys["lang"] == suffixes["lang"]) & (keys["import_path"] == suffixes["suffix"]) & (keys["key_name"] == suffixes["dname"])
+    hit = keys.join(suffixes, on).filter(compatible(F.col("ekind"), F.col("dkind")) & (~F.col("module") | (F.col("dkind") == "module")))
+    return hit.select("key_name", keys["lang"], "ekind", "import_path", "module", "d", "dpath")
+
+
+def _prefixes(path: str) -> Column:
+    """(length, text) of each run of a path's leading segments, the empty one first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("at")))
 
 
-def base_classes(raw_edges: DataFrame, suffixes: DataFrame) -> DataFrame:
+def nearest_imports(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """kid, path, near: the only candidate among those that share most leading segments with an edge's path.
+
+    ``edges``: kid, path; ``hits``: kid, d, dpath."""
+    groups = hits.filter("dpath is not null").select("kid", "d", F.explode(_prefixes("dpath")).alias("p")).groupBy("kid", "p.k", "p.at")
+    groups = groups.agg(F.count_distinct("d").alias("n"), F.min("d").alias("one"))
+    at = edges.filter("path is not null").distinct().select("kid", "path", F.explode(_prefixes("path")).alias("p")).select("kid", "path", "p.k", "p.at")
+    best = at.join(groups, ["kid", "k", "at"]).groupBy("kid", "path").agg(F.max(F.struct("k", "n", "one")).alias("b"))
+    return best.filter("b.n = 1").select("kid", "path", F.col("b.one").alias("near"))
+
+
+def base_classes(raw_edges: DataFrame, suffixes: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, idx, k, b: inherits edges of class k that reach a base b in the repository."""
     inherits = raw_edges.filter("kind = 'inherits'")
     bound = inherits.filter("dst_id is not null").select(*_KEY, F.col("src").alias("k"), F.col("dst_id").alias("b"))
-    bound = bound.join(suffixes.filter("whole").select(F.col("d").alias("b")), "b", "left_semi").select(*_KEY, "k", "b")
+    bound = bound.join(symbols.select(F.col("id").alias("b")), "b", "left_semi").select(*_KEY, "k", "b")
     named = inherits.filter(F.col("dst_id").isNull() & F.col("import_path").isNotNull() & ~F.startswith("import_path", F.lit(EXTERNAL)))
     cls = suffixes.filter("dkind = 'class'")
     hit = named.join(cls, (named["lang"] == cls["lang"]) & (named["import_path"] == cls["suffix"]) & (named["key_name"] == cls["dname"]))
@@ -138,108 +149,110 @@ def resolve(symbols: DataFrame, raw_edges: DataFrame, todo: DataFrame | None = N
     """One outcome for each edge (of ``todo`` (path, idx), or all): columns of ``model.RESOLUTION``."""
     steps = Steps(symbols.sparkSession, "resolve")
     edges = raw_edges if todo is None else raw_edges.join(todo.select(*_KEY).distinct(), list(_KEY), "left_semi")
-    edges = steps.keep(edges)
-    suffixes = steps.keep(qualified_suffixes(symbols))
-    open_ = edges.filter("dst_id is null")
     selfish = F.col("import_path").isNull() & F.col("qualifier").isin(*SELF_RECEIVERS)
     unself = F.col("qualifier").isNotNull() & ~F.col("qualifier").isin(*SELF_RECEIVERS)
-
-    ids = symbols.select(F.col("id").alias("d"), F.col("path").alias("dpath"))
-    direct = edges.filter("dst_id is not null").select(*_KEY, F.col("dst_id").alias("d")).join(ids, "d")
-    parts = [_candidates(direct, "direct"), _candidates(import_candidates(open_, suffixes), "import")]
+    edges = steps.keep(edges.withColumn("x", F.when(F.col("dst_id").isNull() & selfish, F.col("src"))))
+    shapes = steps.keep(edges.select(*_SHAPE).distinct().withColumn("sid", F.monotonically_increasing_id()))
+    open_ = shapes.filter("dst_id is null")
+    symbols = steps.keep(symbols.select("id", "name", "lang", "kind", "path", "parent", "qualified"))
+    names = open_.select("name").unionByName(open_.select(F.col("key_name").alias("name")))
+    names = names.unionByName(raw_edges.filter("kind = 'inherits'").select(F.col("key_name").alias("name"))).distinct()
+    known = steps.keep(symbols.join(names, "name", "left_semi"))
+    suffixes = steps.keep(qualified_suffixes(known))
+    few = [F.count_distinct("d").alias("n"), F.min("d").alias("one")]
+
+    direct = shapes.filter("dst_id is not null").join(symbols.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("sid", F.lit(True).alias("direct"))
+
+    # kid: imports of several candidates at different paths, of which the edge's own path may pick one.
+    wanted = import_keys(open_)
+    hits = steps.keep(import_hits(wanted.select(*_IMPORT).distinct(), suffixes))
+    apart = F.coalesce((F.min("dpath") != F.max("dpath")) | (F.count("dpath") < F.count("*")), F.lit(True)).alias("apart")
+    keys = hits.groupBy(*_IMPORT).agg(*few, apart).withColumn("kid", F.monotonically_increasing_id())
+    keys = steps.keep(keys.withColumn("kid", F.when((F.col("n") > 1) & F.col("apart"), F.col("kid"))).drop("apart"))
+    imports = wanted.join(keys, list(_IMPORT)).select("sid", F.col("n").alias("import_n"), F.col("one").alias("import_one"), "kid")
 
     # Members of base classes, and the edges whose class has a base outside the repository.
-    selfs = open_.filter(selfish)
-    of_class = steps.keep(enclosing_classes(symbols, selfs, steps))
-    bases = steps.keep(base_classes(raw_edges, suffixes))
+    selfs = open_.filter("x is not null")
+    of_class = steps.keep(enclosing_classes(symbols, selfs.select(F.col("x").alias("src")), steps))
+    bases = steps.keep(base_classes(raw_edges, suffixes, symbols))
     anc = ancestors(of_class, bases, steps)
     external = raw_edges.filter("kind = 'inherits' and dst_id is null").join(bases, list(_KEY), "left_anti").select(F.col("src").alias("a")).distinct()
     reach = of_class.select("k").distinct().withColumn("a", F.col("k")).unionByName(anc.select("k", "a"))
     ext_class = reach.join(external, "a", "left_semi").select("k").distinct()
-    selfs = selfs.withColumnRenamed("src", "x").join(of_class, "x")
-    ext_self = steps.keep(selfs.join(ext_class, "k", "left_semi").select(*_KEY))
-    members = symbols.filter("parent is not null").select(
-        F.col("parent").alias("a"), F.col("id").alias("d"), F.col("name").alias("dname"), F.col("kind").alias("dkind"), F.col("path").alias("dpath")
-    )
-    inherit = selfs.select(*_KEY, "k", F.col("kind").alias("ekind"), F.col("name").alias("dname")).join(anc, "k").join(members, ["a", "dname"])
-    parts.append(_candidates(inherit.filter(compatible(F.col("ekind"), F.col("dkind"))), "inherit", depth="depth"))
+    selfs = selfs.join(of_class, "x")
+    ext_self = steps.keep(selfs.join(ext_class, "k", "left_semi").select("sid"))
+    members = known.filter("parent is not null").select(F.col("parent").alias("a"), F.col("id").alias("d"), F.col("name").alias("dname"), F.col("kind").alias("dkind"))
+    inherit = selfs.select("sid", "k", F.col("kind").alias("ekind"), F.col("name").alias("dname")).join(anc, "k").join(members, ["a", "dname"])
+    inherit = inherit.filter(compatible(F.col("ekind"), F.col("dkind"))).groupBy("sid", "depth").agg(*few)
+    inherit = inherit.groupBy("sid").agg(F.min(F.struct("depth", "n", "one")).alias("b")).select("sid", F.col("b.n").alias("inherit_n"), F.col("b.one").alias("inherit_one"))
 
     # Receiver and name, as a proper suffix.
     q = open_.filter(F.col("import_path").isNull() & unself & ~F.col("name").isin(*_SPECIAL))
-    q = q.select(*_KEY, "lang", F.col("kind").alias("ekind"), F.col("name").alias("dname"), F.concat("qualifier", _separator(F.col("lang")), "name").alias("suffix"))
-    qual = q.join(suffixes.filter("not whole"), ["lang", "suffix", "dname"]).filter(compatible(F.col("ekind"), F.col("dkind")))
-    parts.append(_candidates(qual, "qual"))
+    q = q.select("sid", "lang", F.col("kind").alias("ekind"), F.col("name").alias("dname"), F.concat("qualifier", _separator(F.col("lang")), "name").alias("suffix"))
+    of_qual = ["lang", "suffix", "dname", "ekind"]
+    qual = q.select(*of_qual).distinct().join(suffixes.filter("not whole"), ["lang", "suffix", "dname"]).filter(compatible(F.col("ekind"), F.col("dkind")))
+    qual = q.join(qual.groupBy(*of_qual).agg(*few), of_qual).select("sid", F.col("n").alias("qual_n"), F.col("one").alias("qual_one"))
 
     # The name alone.
     heads = symbols.filter("kind = 'module'").select("lang", F.col("name").alias("head")).distinct()
-    named = open_.filter(~F.col("name").isin(*_SPECIAL)).join(ext_self, list(_KEY), "left_anti").withColumn("head", import_head("import_path"))
+    named = open_.filter(~F.col("name").isin(*_SPECIAL)).join(ext_self, "sid", "left_anti").withColumn("head", import_head("import_path"))
     free = named.filter("import_path is null")
     in_repo = named.filter("head is not null").join(heads, ["lang", "head"], "left_semi")
     named = free.unionByName(in_repo.select(*free.columns))
     risky = F.col("import_path").isNull() & unself & F.col("name").isin(*BUILTIN_METHODS) & (F.col("lang") == "python")
-    named = named.select(*_KEY, "lang", F.col("kind").alias("ekind"), "name", risky.alias("risky"))
-    wanted = named.select("name", "lang", "ekind").distinct()
+    named = named.select("sid", "lang", F.col("kind").alias("ekind"), "name", risky.alias("risky"))
+    of_name = ["name", "lang", "ekind"]
     counted = (
-        wanted.join(symbols.select("name", "lang", "id", F.col("path").alias("dpath"), F.col("kind").alias("dkind")), ["name", "lang"])
-        .filter(compatible(F.col("ekind"), F.col("dkind")))
-        .groupBy("name", "lang", "ekind")
-        .agg(F.count_distinct("id").alias("m"), F.min("id").alias("one"), F.min("dpath").alias("one_path"))
-    )
-    name = named.join(counted, ["name", "lang", "ekind"])
-    unique = ~F.col("risky") & (F.col("m") == 1)
-    name = name.withColumns(
-        {"d": F.when(unique, F.col("one")), "dpath": F.when(unique, F.col("one_path")), "n": F.when(F.col("risky"), F.col("m") + 1).otherwise(F.col("m"))}
-    )
-    parts.append(_candidates(name, "name", n="n"))
-
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return decide(edges, every)
-
-
-def decide(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The outcome of each edge from its candidates (path, idx, tier, d, dpath, depth, n)."""
-    of = lambda tier: F.col("tier") == tier
-    near = F.when(of("import"), shared_dirs("path", "dpath"))
-    per = candidates.withColumn("near", near).groupBy(*_KEY).agg(
-        F.min(F.when(of("direct"), F.col("d"))).alias("direct"),
-        F.collect_set(F.when(of("import"), F.struct("near", "d"))).alias("imports"),
-        F.collect_set(F.when(of("inherit"), F.struct("depth", "d"))).alias("inherits"),
-        F.collect_set(F.when(of("qual"), F.col("d"))).alias("quals"),
-        F.max(F.when(of("name"), F.struct(F.col("d").isNotNull().alias("one"), "n", "d"))).alias("by_name"),
+        named.select(*of_name).distinct().join(known.select("name", "lang", F.col("id").alias("d"), F.col("kind").alias("dkind")), ["name", "lang"])
+        .filter(compatible(F.col("ekind"), F.col("dkind"))).groupBy(*of_name).agg(*few)
     )
-    ids = F.array_distinct(F.transform("imports", lambda x: x["d"]))
-    nearest = F.array_max(F.transform("imports", lambda x: x["near"]))
-    top = F.array_distinct(F.transform(F.filter("imports", lambda x: x["near"] == nearest), lambda x: x["d"]))
-    depth = F.array_min(F.transform("inherits", lambda x: x["depth"]))
-    close = F.array_distinct(F.transform(F.filter("inherits", lambda x: x["depth"] == depth), lambda x: x["d"]))
-
-    def one(c: Column, prov: str) -> Column:
-        hit = F.struct(F.lit("resolved").alias("outcome"), F.get(c, F.lit(0)).alias("dst"), F.lit(prov).alias("provenance"), F.lit(None).cast("int").alias("candidates"))
-        return F.when(F.size(c) == 1, hit).otherwise(_ambiguous(F.size(c)))
-
-    def _ambiguous(n: Column) -> Column:
-        null = F.lit(None).cast("string")
-        return F.struct(F.lit("ambiguous").alias("outcome"), null.alias("dst"), null.alias("provenance"), n.cast("int").alias("candidates"))
-
-    null = F.lit(None).cast("string")
-    unresolved = F.struct(F.lit("unresolved").alias("outcome"), null.alias("dst"), null.alias("provenance"), F.lit(None).cast("int").alias("candidates"))
-    direct = F.struct(F.lit("resolved").alias("outcome"), F.col("direct").alias("dst"), F.col("prov").alias("provenance"), F.lit(None).cast("int").alias("candidates"))
-    guess = F.struct(
-        F.lit("resolved").alias("outcome"), F.col("by_name.d").alias("dst"), F.lit("name_guess").alias("provenance"), F.lit(None).cast("int").alias("candidates")
+    name = named.join(counted, of_name).select(
+        "sid", F.when(F.col("risky"), F.col("n") + 1).otherwise(F.col("n")).alias("name_n"), F.when(~F.col("risky") & (F.col("n") == 1), F.col("one")).alias("name_one")
     )
-    outcome = (
-        F.when(F.col("direct").isNotNull(), direct)
-        .when(F.size("imports") > 0, F.when(F.size(ids) == 1, one(ids, "resolved")).when(F.size(top) == 1, one(top, "resolved")).otherwise(_ambiguous(F.size(ids))))
-        .when(F.size("inherits") > 0, one(close, "inferred"))
-        .when(F.size("quals") > 0, one(F.col("quals"), "inferred"))
-        .when(F.col("by_name.d").isNotNull(), guess)
-        .when(F.col("by_name.n") > 1, _ambiguous(F.col("by_name.n")))
-        .otherwise(unresolved)
+
+    every = shapes
+    for tier in (direct, imports, inherit, qual, name):
+        every = every.join(tier, "sid", "left")
+    every = steps.keep(every.select(*[F.col(c).alias(f"_{c}") for c in _SHAPE], "direct", "kid", _outcome().alias("o")))
+    same = F.lit(True)
+    for c in _SHAPE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = edges.join(every, same)
+    o = F.when(F.col("direct"), _one(F.col("dst_id"), F.col("prov"))).otherwise(F.col("o"))
+    apart = keys.filter("kid is not null")
+    if not is_empty(apart):
+        at = import_keys(edges.filter("dst_id is null")).join(apart.select(*_IMPORT, "kid"), list(_IMPORT)).select("kid", "path")
+        near = nearest_imports(at, hits.join(apart.select(*_IMPORT, "kid"), list(_IMPORT)).select("kid", "d", "dpath"))
+        out = out.join(near, ["kid", "path"], "left")
+        o = F.when(F.col("near").isNotNull(), _one(F.col("near"), F.lit("resolved"))).otherwise(o)
+    return out.withColumn("o", o).select(*_KEY, "src", "kind", "site_line", "o.outcome", "o.dst", "o.provenance", "o.candidates")
+
+
+def _result(outcome: str, dst: Column | None = None, provenance: Column | None = None, candidates: Column | None = None) -> Column:
+    typed = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    return F.struct(
+        F.lit(outcome).alias("outcome"), typed(dst, "string").alias("dst"), typed(provenance, "string").alias("provenance"), typed(candidates, "int").alias("candidates")
+    )
+
+
+def _one(dst: Column, provenance: Column) -> Column:
+    return _result("resolved", dst, provenance)
+
+
+def _outcome() -> Column:
+    """Of an edge that isn't bound, from the number of candidates in each tier and one of them."""
+    def pick(tier: str, provenance: str) -> Column:
+        n = F.col(f"{tier}_n")
+        return F.when(n == 1, _one(F.col(f"{tier}_one"), F.lit(provenance))).otherwise(_result("ambiguous", candidates=n))
+
+    return (
+        F.when(F.col("import_n").isNotNull(), pick("import", "resolved"))
+        .when(F.col("inherit_n").isNotNull(), pick("inherit", "inferred"))
+        .when(F.col("qual_n").isNotNull(), pick("qual", "inferred"))
+        .when(F.col("name_one").isNotNull(), _one(F.col("name_one"), F.lit("name_guess")))
+        .when(F.col("name_n") > 1, _result("ambiguous", candidates=F.col("name_n")))
+        .otherwise(_result("unresolved"))
     )
-    out = edges.join(per, list(_KEY), "left").withColumn("o", outcome)
-    return out.select(*_KEY, "src", "kind", "site_line", "o.outcome", "o.dst", "o.provenance", "o.candidates")
 
 
 def links(resolution: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from depscape.operators import iterate, ladder, reach, traverse
+from depscape.operators import impact, iterate, ladder, reach, resolve, traverse
 
 
 @pytest.fixture
@@ -61,3 +61,37 @@ def test_one_query_traversal_of_many_walks(spark):
     more = [(f"m{i}", f"n3.{j}") for i in range(n) for j in range(n)]
     links = links.unionByName(spark.createDataFrame([(s, d, "calls", "extracted") for s, d in more], "src string, dst string, kind string, prov string"))
     assert traverse.blast_radius_sql(spark, links, targets, 4).filter("depth = 4").count() == n
+
+
+def _many_of_a_name(spark, n):
+    """n functions m.f at as many paths, and n references to f by import, by receiver and by name; one import is beside a definition."""
+    symbols = [(f"d{i}", "f", "python", "function", f"u/{i}/m.py", None, "m.f") for i in range(n)]
+    edges = [(f"c/{i}.py", k, "python", f"s{i}", "calls", 1, None, "f", "f", q, p, "extracted") for i in range(n) for k, (q, p) in enumerate([(None, "m.f"), ("m", None), (None, None)])]
+    edges += [("u/7/x.py", 0, "python", "d7", "calls", 1, None, "f", "f", None, "m.f", "extracted"), ("u/7/x.py", 1, "python", "d7", "calls", 1, None, "f", "f", None, None, "extracted")]
+    edges += [("u/7/x.py", 2, "python", "d7", "calls", 1, "d3", None, None, None, None, "extracted"), ("u/7/x.py", 3, "python", "d7", "calls", 1, "gone", None, None, None, None, "extracted")]
+    return (
+        spark.createDataFrame(symbols, "id string, name string, lang string, kind string, path string, parent string, qualified string"),
+        spark.createDataFrame(edges, "path string, idx int, lang string, src string, kind string, site_line int, dst_id string, name string, key_name string, qualifier string, import_path string, prov string"),
+    )
+
+
+def test_resolution_counts_before_edges_meet_candidates(spark):
+    n = 80
+    symbols, edges = _many_of_a_name(spark, n)
+    got, rows = shuffled(spark, lambda: {(r["path"], r["idx"]): (r["outcome"], r["dst"], r["provenance"], r["candidates"]) for r in resolve.resolve(symbols, edges).collect()})
+    many, none = ("ambiguous", None, None, n), ("unresolved", None, None, None)
+    want = {(f"c/{i}.py", k): many for i in range(n) for k in range(3)}
+    want |= {("u/7/x.py", 0): ("resolved", "d7", "resolved", None), ("u/7/x.py", 1): many, ("u/7/x.py", 2): ("resolved", "d3", "extracted", None), ("u/7/x.py", 3): none}
+    assert got == want
+    assert rows < 60 * n
+
+
+def test_gaps_are_totals_of_a_name_less_a_targets_own(spark):
+    n = 80
+    symbols, edges = _many_of_a_name(spark, n)
+    resolution = resolve.resolve(symbols, edges).cache()
+    resolution.count()
+    targets = symbols.select(symbols["id"].alias("query"), "id", "name")
+    got, rows = shuffled(spark, lambda: {r["query"]: (r["ambiguous"], r["unresolved"]) for r in impact.name_gaps(resolution, edges, targets).collect()})
+    assert got == {f"d{i}": (3 * n + (i != 7), 0) for i in range(n)}
+    assert rows < 20 * n
