@@ -153,8 +153,13 @@ def name_gaps(resolution: DataFrame, raw_edges: DataFrame, targets: DataFrame, k
     internal = F.col("import_path").isNull() | ~F.startswith("import_path", F.lit("<external>:"))
     e = raw_edges.filter(internal & F.col("kind").isin(*kinds)).select("path", "idx", F.col("key_name").alias("name"))
     r = resolution.filter("outcome <> 'resolved'").join(e, ["path", "idx"])
-    hit = targets.select("query", F.col("id").alias("target"), "name").join(r, "name").filter(F.col("src") != F.col("target"))
-    n = hit.groupBy("query").agg(F.count_if(F.col("outcome") == "ambiguous").alias("ambiguous"), F.count_if(F.col("outcome") == "unresolved").alias("unresolved"))
+    # Counted by name and source first: targets of one name don't each meet all references, but the totals, less their own.
+    gaps = ("ambiguous", "unresolved")
+    by_source = r.filter("src is not null").groupBy("name", "src").agg(*[F.count_if(F.col("outcome") == g).alias(g) for g in gaps])
+    by_name = by_source.groupBy("name").agg(*[F.sum(g).alias(g) for g in gaps])
+    t = targets.select("query", F.col("id").alias("target"), "name").filter("target is not null")
+    own = by_source.join(t.withColumnRenamed("target", "src"), ["name", "src"]).select("query", *[(-F.col(g)).alias(g) for g in gaps])
+    n = t.join(by_name, "name").select("query", *gaps).unionByName(own).groupBy("query").agg(*[F.sum(g).alias(g) for g in gaps])
     out = targets.select("query").distinct().join(n, "query", "left")
     return out.select("query", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ambiguous", "unresolved")])
 
