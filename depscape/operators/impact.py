@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import dirname, local_name
 from ..model import CONFIDENCES, DEPENDENCY_KINDS, confidence, from_ordinal
+from .iterate import Steps, numbered_within
 
 MAX_CALLERS, MAX_CALLED_BY, MAX_INDIRECT_GROUPS, MAX_NAMES = 200, 3, 12, 10
 EDGE = ("src", "dst", "kind", "prov", "site_line")
@@ -31,12 +32,41 @@ def callers_count(links: DataFrame) -> DataFrame:
     return links.filter("kind <> 'contains'").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers"))
 
 
-def ranked_dependents(reached: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
-    """Dependents with their symbol, fan-in and rank: depth, production first, confidence, fan-in, name, id."""
+def described_dependents(reached: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
+    """Dependents with their symbol, fan-in and confidence, not ranked."""
     s = symbols.select("id", "qualified", F.col("kind").alias("symbol_kind"), "path", "start_line", "end_line", "signature", "is_test")
     out = reached.join(s, "id").join(fan_in(links), "id", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
-    w = Window.partitionBy("query").orderBy("depth", "is_test", "path_conf", F.desc("fan_in"), "qualified", "id")
-    return out.withColumn("rank", F.row_number().over(w)).withColumn("confidence", from_ordinal(F.col("path_conf"), CONFIDENCES))
+    return out.withColumn("confidence", from_ordinal(F.col("path_conf"), CONFIDENCES))
+
+
+def ranked_dependents(reached: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
+    """Described dependents with their rank: depth, production first, confidence, fan-in, name, id.  Ranks come from
+    written range partitions, as a query may reach most symbols."""
+    steps = Steps(reached.sparkSession, "ranked")
+    out = described_dependents(reached, symbols, links).withColumn("_less", -F.col("fan_in"))
+    return numbered_within(steps, out, "query", ["depth", "is_test", "path_conf", "_less", "qualified", "id"], "rank").drop("_less")
+
+
+def _by_rank(dependents: DataFrame) -> list[Column]:
+    """The order of ranked dependents, or of described ones as if they were ranked."""
+    if "rank" in dependents.columns:
+        return [F.col("rank")]
+    return [F.col("depth"), F.col("is_test"), F.col("path_conf"), F.desc("fan_in"), F.col("qualified"), F.col("id")]
+
+
+def _first(dependents: DataFrame, group: list[str], name: Column, most: int, alias: str) -> DataFrame:
+    """The first names of each group by rank; tasks drop later ones before rows are sent."""
+    w = Window.partitionBy(*group).orderBy(*_by_rank(dependents))
+    top = dependents.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select(*group, "_n", name.alias("_name"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_name"))), lambda x: x["_name"])
+    return top.groupBy(*group).agg(names.alias(alias)).select(*[F.col(g).alias(f"_{g}") for g in group], alias)
+
+
+def _joined(groups: DataFrame, first: DataFrame, group: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return groups.join(first, same, "left").drop(*[f"_{g}" for g in group])
 
 
 def summary(reached: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -59,19 +89,17 @@ def by_depth(reached: DataFrame) -> DataFrame:
     return reached.groupBy("query", "depth").agg(F.count("*").alias("n"))
 
 
-def by_file(ranked: DataFrame, names: int = MAX_NAMES) -> DataFrame:
-    """query, path, count, prod, test, min_depth, names (the first by rank), omitted."""
-    w = Window.partitionBy("query", "path").orderBy("rank")
-    r = ranked.withColumn("_n", F.row_number().over(w))
-    return (
-        r.groupBy("query", "path")
-        .agg(
-            F.count("*").alias("count"), F.count_if(~F.col("is_test")).alias("prod"), F.count_if(F.col("is_test")).alias("test"), F.min("depth").alias("min_depth"),
-            F.array_sort(F.collect_list(F.when(F.col("_n") <= names, F.struct("_n", "qualified")))).alias("names"),
-        )
-        .withColumn("names", F.transform("names", lambda x: x["qualified"]))
-        .withColumn("omitted", F.col("count") - F.size("names"))
-    )
+def file_counts(dependents: DataFrame) -> DataFrame:
+    """query, path, count, prod, test, min_depth."""
+    return dependents.groupBy("query", "path").agg(
+        F.count("*").alias("count"), F.count_if(~F.col("is_test")).alias("prod"), F.count_if(F.col("is_test")).alias("test"), F.min("depth").alias("min_depth")
+    )
+
+
+def by_file(dependents: DataFrame, names: int = MAX_NAMES) -> DataFrame:
+    """query, path, count, prod, test, min_depth, names (the first by rank), omitted, of ranked or described dependents."""
+    first = _first(dependents, ["query", "path"], F.col("qualified"), names, "names")
+    return _joined(file_counts(dependents), first, ["query", "path"]).withColumn("omitted", F.col("count") - F.size("names"))
 
 
 def by_directory(files: DataFrame) -> DataFrame:
@@ -81,17 +109,16 @@ def by_directory(files: DataFrame) -> DataFrame:
     )
 
 
-def indirect_groups(ranked: DataFrame, most: int = MAX_INDIRECT_GROUPS) -> DataFrame:
-    """query, module, count, prod, test, min_depth, top: dependents at depth 2 or more by directory, modules
-    left out; the groups with most production dependents."""
-    far = ranked.filter("depth >= 2 and symbol_kind <> 'module'").withColumn("module", dirname("path"))
-    far = far.withColumn("_n", F.row_number().over(Window.partitionBy("query", "module").orderBy("rank")))
+def indirect_groups(dependents: DataFrame, most: int = MAX_INDIRECT_GROUPS) -> DataFrame:
+    """query, module, count, prod, test, min_depth, top: dependents (ranked or described) at depth 2 or more by
+    directory, modules left out; the groups with most production dependents."""
+    far = dependents.filter("depth >= 2 and symbol_kind <> 'module'").withColumn("module", dirname("path"))
     groups = far.groupBy("query", "module").agg(
-        F.count("*").alias("count"), F.count_if(~F.col("is_test")).alias("prod"), F.count_if(F.col("is_test")).alias("test"), F.min("depth").alias("min_depth"),
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", local_name("qualified", "path").alias("name"))))).alias("top"),
-    )
+        F.count("*").alias("count"), F.count_if(~F.col("is_test")).alias("prod"), F.count_if(F.col("is_test")).alias("test"), F.min("depth").alias("min_depth")
+    )
     w = Window.partitionBy("query").orderBy(F.desc("prod"), F.desc("count"), "module")
-    return groups.withColumn("top", F.transform("top", lambda x: x["name"])).withColumn("_g", F.row_number().over(w)).filter(F.col("_g") <= most).drop("_g")
+    groups = groups.withColumn("_g", F.row_number().over(w)).filter(F.col("_g") <= most).drop("_g")
+    return _joined(groups, _first(far, ["query", "module"], local_name("qualified", "path"), 3, "top"), ["query", "module"])
 
 
 def direct_sites(links: DataFrame, symbols: DataFrame, targets: DataFrame, kinds: tuple[str, ...] = DEPENDENCY_KINDS) -> DataFrame:

@@ -77,6 +77,14 @@ def dense_number(steps: Steps, df: DataFrame, order: list[str], name: str) -> Da
     return out
 
 
+def numbered_within(steps: Steps, df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds 1, 2, ... within each group, in the order of columns; a group may be most of the table."""
+    out = dense_number(steps, df, [group, *order], "_dense")
+    first = out.groupBy(F.col(group).alias("_group")).agg(F.min("_dense").alias("_first"))
+    out = out.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, (F.col("_dense") - F.col("_first") + 1).cast("int")).drop("_dense", "_group", "_first")
+
+
 def partitions(df: DataFrame, rows: int) -> int:
     """Tasks for a shuffle of a kept table: the session's number, or more where one would get over ``rows``."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DEPENDENCY_KINDS
-from .iterate import Steps, dense_number, is_empty, partitions
+from .iterate import Steps, dense_number, is_empty, numbered_within, partitions
 from .traverse import of_kinds
 
 # Targets of one block of numbers share a row of a node's set, so rows stay short; edges whose sets one task joins.
@@ -89,4 +89,4 @@ def ranked_targets(reach: DataFrame, measure: str = "d10") -> DataFrame:
 
 def blast_order(reached: DataFrame) -> DataFrame:
     """Adds rank: the place of a reached node in its target's raw list, by depth and then id."""
-    return reached.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("depth", "id")))
+    return numbered_within(Steps(reached.sparkSession, "order"), reached, "target", ["depth", "id"], "rank")
