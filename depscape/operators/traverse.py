@@ -13,6 +13,9 @@ from ..model import DEPENDENCY_KINDS, EDGE_KINDS, confidence, from_ordinal, ordi
 from .iterate import Steps, is_empty
 
 
+_BROADCAST_ROWS = 100_000
+
+
 def of_kinds(links: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
     return links if kinds is None else links.filter(F.col("kind").isin(*kinds))
 
@@ -60,9 +63,8 @@ def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tu
     beyond: nodes at the depth limit that still have an unseen dependent.
     """
     steps = Steps(links.sparkSession, "dependents")
-    edges = of_kinds(links, kinds)
-    edges = edges.groupBy("dst", "src", ordinal(F.col("kind"), EDGE_KINDS).alias("kind")).agg(F.min(confidence(F.col("prov"))).alias("edge_conf"))
-    edges = steps.keep(edges)
+    # Links of the same ends and kind stay apart: the least way is that of the most certain of them.
+    edges = of_kinds(links, kinds).select("dst", "src", ordinal(F.col("kind"), EDGE_KINDS).alias("kind"), confidence(F.col("prov")).alias("edge_conf"))
     columns = "query, id, depth, via, kind, edge_conf, path_conf".split(", ")
     null = F.lit(None)
     seen = roots.select("query", "id").distinct().select(
@@ -71,14 +73,17 @@ def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tu
     )
     seen = steps.keep(seen)
     front = seen
+    n = known = seen.count()
     for depth in range(1, max_depth + 1):
         f = front.select("query", F.col("id").alias("dst"), F.col("path_conf").alias("base"))
-        step = f.join(edges, "dst").join(seen.select("query", F.col("id").alias("src")), ["query", "src"], "left_anti")
+        step = edges.join(_small(f, n), "dst").join(_small(seen.select("query", F.col("id").alias("src")), known), ["query", "src"], "left_anti")
         way = F.struct(F.greatest("base", "edge_conf").alias("path_conf"), F.col("edge_conf"), F.col("dst").alias("via"), F.col("kind"))
         best = step.groupBy("query", F.col("src").alias("id")).agg(F.min(way).alias("w"))
         front = steps.keep(best.select("query", "id", F.lit(depth).alias("depth"), "w.via", "w.kind", "w.edge_conf", "w.path_conf").select(*columns))
-        if is_empty(front):
+        n = front.count()
+        if not n:
             break
+        known += n
         seen = steps.union(seen, front)
     last = front.select("query", F.col("id").alias("dst"))
     more = last.join(edges.select("dst", "src"), "dst").join(seen.select("query", F.col("id").alias("src")), ["query", "src"], "left_anti")
@@ -89,6 +94,11 @@ def dependents(links: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: tu
     return reached, beyond
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A few nodes meet links where these are, and the links needn't be shuffled."""
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
 def covering_tests(links: DataFrame, symbols: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
     """target, id, depth: test symbols that reach a target through calls and references; the target itself,
     at depth 0, if it is a test."""

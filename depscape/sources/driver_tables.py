@@ -60,8 +60,9 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*_SYMBOL)
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Foreign keys: the row that refers depends on the row referred to.  A line's return flag is its provenance."""
+def links(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """Foreign keys: the row that refers depends on the row referred to.  A line's return flag is its provenance.
+    With ``repeats`` an import is there once a line, for those who don't count links."""
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem")
     prov = F.when(F.col("l_returnflag") == "A", F.lit("extracted")).when(F.col("l_returnflag") == "N", F.lit("inferred")).otherwise(F.lit("name_guess"))
@@ -76,7 +77,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(t("orders"), _id("o", "o_orderkey"), _id("c", "o_custkey"), "calls"),
         rows(line, _id("o", "l_orderkey"), _id("p", "l_partkey"), "calls", prov, at),
         rows(line, _id("o", "l_orderkey"), _id("s", "l_suppkey"), "references", prov, at),
-        rows(line.select("l_partkey", "l_suppkey").distinct(), _id("p", "l_partkey"), _id("s", "l_suppkey"), "imports"),
+        rows(line.select("l_partkey", "l_suppkey") if repeats else line.select("l_partkey", "l_suppkey").distinct(), _id("p", "l_partkey"), _id("s", "l_suppkey"), "imports"),
         rows(t("customer"), _id("c", "c_custkey"), _id("n", "c_nationkey"), "inherits"),
         rows(t("supplier"), _id("s", "s_suppkey"), _id("n", "s_nationkey"), "inherits"),
         rows(t("nation"), _id("n", "n_nationkey"), _id("r", "n_regionkey"), "contains"),
