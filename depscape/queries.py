@@ -99,7 +99,11 @@ def blast_by_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return traverse.dependents(d.links(spark, sf), _roots(spark))
+    return traverse.dependents(d.links(spark, sf, repeats=True), _roots(spark))
+
+
+def _described(spark: SparkSession, sf: str) -> DataFrame:
+    return impact.described_dependents(_reached(spark, sf)[0], d.symbols(spark, sf).withColumn("signature", F.lit("")), d.links(spark, sf))
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +134,7 @@ from (select *, row_number() over (partition by query, path order by rank) as n
 
 @query(_RANKED + _BY_FILE, "v_symbol", "v_link")
 def dependents_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    out = impact.by_file(_ranked(spark, sf))
+    out = impact.by_file(_described(spark, sf))
     return out.withColumn("names", F.array_join("names", ";")).withColumn("omitted", F.col("omitted").cast("int"))
 
 
@@ -141,7 +145,7 @@ sum(prod)::bigint as prod, sum(test)::bigint as test, min(min_depth) as min_dept
     "v_symbol", "v_link",
 )
 def dependents_by_dir(spark: SparkSession, sf: str) -> DataFrame:
-    return impact.by_directory(impact.by_file(_ranked(spark, sf)))
+    return impact.by_directory(impact.file_counts(_reached(spark, sf)[0].join(d.symbols(spark, sf).select("id", "path", "is_test"), "id")))
 
 
 @query(f"+ {_levels()} select query, depth, path_conf, count(*)::bigint as n from reached group by all", "v_link")
@@ -245,7 +249,7 @@ select query, module, count::bigint as count, prod::bigint as prod, test::bigint
     "v_symbol", "v_link",
 )
 def indirect_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return impact.indirect_groups(_ranked(spark, sf)).withColumn("top", F.array_join("top", ";"))
+    return impact.indirect_groups(_described(spark, sf)).withColumn("top", F.array_join("top", ";"))
 
 
 @query(
