@@ -95,3 +95,32 @@ def test_gaps_are_totals_of_a_name_less_a_targets_own(spark):
     got, rows = shuffled(spark, lambda: {r["query"]: (r["ambiguous"], r["unresolved"]) for r in impact.name_gaps(resolution, edges, targets).collect()})
     assert got == {f"d{i}": (3 * n + (i != 7), 0) for i in range(n)}
     assert rows < 20 * n
+
+
+def _star(spark, n):
+    """n callers of one target, each called by another; half of them are tests."""
+    edges = [(f"a{i:03}", "t", "calls", p, 0) for i in range(n) for p in ("name_guess", "extracted")] + [(f"b{i:03}", f"a{i:03}", "calls", "inferred", 0) for i in range(n)]
+    ids = ["t", *(f"{c}{i:03}" for c in "ab" for i in range(n))]
+    symbols = [(x, f"q.{x}", "function", f"d{x[0]}/f.py", 1, 1, "", x[-1] in "13579") for x in ids]
+    return (
+        spark.createDataFrame(edges, "src string, dst string, kind string, prov string, site_line int"),
+        spark.createDataFrame(symbols, "id string, qualified string, kind string, path string, start_line int, end_line int, signature string, is_test boolean"),
+    )
+
+
+def test_ranks_and_groups_of_a_query_that_reaches_most(spark, monkeypatch):
+    n = 40
+    links, symbols = _star(spark, n)
+    for most in (0, 100_000):  # joined by shuffles, by broadcasts
+        monkeypatch.setattr(traverse, "_BROADCAST_ROWS", most)
+        reached, _ = traverse.dependents(links, spark.createDataFrame([("t", "t")], "query string, id string"))
+        assert {(r["id"], r["depth"], r["path_conf"]) for r in reached.collect()} == {(f"{c}{i:03}", d, d - 1) for c, d in (("a", 1), ("b", 2)) for i in range(n)}
+    order = [f"{c}{i:03}" for c in "ab" for test in (0, 1) for i in range(test, n, 2)]
+    ranked = impact.ranked_dependents(reached, symbols, links)
+    assert [(r["id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(x, k + 1) for k, x in enumerate(order)]
+    assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString()  # no task sorts a query's dependents
+    for dependents in (ranked, impact.described_dependents(reached, symbols, links)):
+        got = {r["path"]: (r["count"], r["prod"], r["names"], r["omitted"]) for r in impact.by_file(dependents).collect()}
+        assert got == {f"d{c}/f.py": (n, n // 2, [f"q.{c}{i:03}" for i in range(0, 20, 2)], n - 10) for c in "ab"}
+        assert [tuple(r)[:4] for r in impact.indirect_groups(dependents).collect()] == [("t", "db", n, n // 2)]
+    assert "WindowGroupLimit" in impact.by_file(dependents)._jdf.queryExecution().optimizedPlan().toString()
